@@ -1,4 +1,7 @@
-"""Operators for the text of large training sets. Nothing else in the library imports this."""
+"""Operators for the text of large training sets. Nothing else in the library imports this.
+
+Each module names its queries in QUERIES and, where SQL can express one, its SQL in ORACLES.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import decontaminate, line_dedup, near_dedup
+
+MODULES = (line_dedup, decontaminate, near_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_near_dedup": near_dedup.op5_near_dedup}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dedup": near_dedup.ORACLE}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -294,3 +294,6 @@ reach AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM sets s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c ON c.node = s.doc_id
 """
+
+QUERIES = {"op5_near_dedup": op5_near_dedup}
+ORACLES = {"op5_near_dedup": ORACLE}
