@@ -1,3 +1,32 @@
-STAGES = []
+"""Five stages over documents: quality rules, line dedup, near-dedup, decontamination, mixing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from nightloom.llm.common import Workspace, documents
+from nightloom.llm.decontaminate import clean_of_benchmark
+from nightloom.llm.line_dedup import without_repeats
+from nightloom.llm.mixing import to_weights
+from nightloom.llm.near_dedup import one_of_each
+from nightloom.llm.quality_rules import good_only
+
+STAGES = [
+    ("quality_rules", good_only),
+    ("line_dedup", without_repeats),
+    ("near_dedup", one_of_each),
+    ("decontaminate", clean_of_benchmark),
+    ("mix_sources", to_weights),
+]
+
+#: Robust estimates, MinHash and Newton's iterations have no SQL form; tests hold the stages
+#: against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): pass
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written to the shared folder and read again by the next."""
+    docs, work = documents(spark, sf_dir), Workspace(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = work.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dedup, quality_rules
+from . import decontaminate, line_dedup, mixing, near_dedup, quality_rules
 
-MODULES = (line_dedup, decontaminate, near_dedup, quality_rules)
+MODULES = (line_dedup, decontaminate, near_dedup, quality_rules, mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -56,6 +56,11 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def maybe_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A broadcast hint for a written table, if a count finds at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def word_count(text="text"):
     """Number of whitespace-separated words, 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(SPACE_CLASS + "+")), F.lit(0)).cast("long")
@@ -176,8 +181,3 @@ def word_hash(word: bytes) -> int:
         h += (b + 1) * pow(_BASE, i, 1 << 64)
     value = np.array([h % (1 << 64)], np.uint64)
     return int(mix(value ^ (np.array([len(word)], np.uint64) * np.uint64(0xD6E8FEB86659FD93)))[0])
-
-
-def read_only_rows(df: DataFrame, *columns: str) -> DataFrame:
-    """Only these columns: other ones, of whatever name, cannot clash."""
-    return df.select(*columns)

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents
+from .common import Workspace, documents, maybe_broadcast
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 SUPPORT, STEPS, QUANTILE, LEAST = 0.75, 3, 0.9999, 50
@@ -193,7 +193,7 @@ def starting(stats: DataFrame, work: Workspace) -> DataFrame:
     """Medians and median absolute deviations (bins of 1/64) as a first mean and diagonal inverse."""
     single = stats.select("g", F.posexplode(F.array(*(F.col(f"x{i}") / UNIT for i in range(P)))).alias("i", "x"))
     middle = share_cut(single, F.floor(F.col("x") * 64), 0.5, "b", "g", "i").select("g", "i", ((F.col("b") + 0.5) / 64).alias("mu"))
-    middle = work.keep(middle, "medians")
+    middle = maybe_broadcast(work.keep(middle, "medians"))
     spread = share_cut(single.join(middle, ["g", "i"]), F.floor(F.abs(F.col("x") - F.col("mu")) * 64), 0.5, "b", "g", "i")
     both = middle.join(spread, ["g", "i"]).withColumn("s", 1.4826 * (F.col("b") + 0.5) / 64)
     pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
@@ -209,14 +209,14 @@ def estimate_columns() -> list[str]:
 
 def measured(stats: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
     inverse = [[F.col(f"v_{min(i, j)}_{max(i, j)}") for j in range(P)] for i in range(P)]
-    return stats.join(estimate, "g", how).withColumn("d2", distance([F.col(f"mu_{i}") for i in range(P)], inverse))
+    return stats.join(maybe_broadcast(estimate), "g", how).withColumn("d2", distance([F.col(f"mu_{i}") for i in range(P)], inverse))
 
 
-def concentrated(stats: DataFrame, estimate: DataFrame) -> DataFrame:
+def concentrated(stats: DataFrame, estimate: DataFrame, work: Workspace, step: int) -> DataFrame:
     """One concentration step: mean and inverse covariance of the closest SUPPORT share."""
     near = measured(stats, estimate).withColumn("bin", F.floor(F.log1p(F.least(F.col("d2"), F.lit(1e9))) * 256))
     cut = share_cut(near, F.col("bin"), SUPPORT, "cut", "g")
-    inside = near.join(cut, "g").where("bin <= cut")
+    inside = near.join(maybe_broadcast(work.keep(cut, f"cut{step}")), "g").where("bin <= cut")
     exact = lambda c: F.sum(c.cast("decimal(20,0)"))
     sums = [F.count("*").alias("n"), *(exact(F.col(f"x{i}")).alias(f"s_{i}") for i in range(P)), *(exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q_{i}_{j}") for i in range(P) for j in range(i, P))]
     got = inside.groupBy("g").agg(*sums)
@@ -246,16 +246,17 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     pool = F.sum(F.when(F.col("n") < LEAST, F.col("n"))).over(Window.partitionBy("lang"))
     sizes = sizes.withColumn("pool", F.coalesce(pool, F.lit(0)))
     name = F.when(F.col("n") >= LEAST, F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})).when(F.col("pool") >= LEAST, F.to_json(F.array("lang"))).otherwise("[]")
-    groups = work.keep(sizes.select("lang", "source", name.alias("g")), "groups")
+    groups = maybe_broadcast(work.keep(sizes.select("lang", "source", name.alias("g")), "groups"))
     grouped = counts.alias("t").join(groups.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "g"), F.col("t.lang").eqNullSafe(F.col("gl")) & F.col("t.source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs", "lang", "source")
     whole = work.keep(grouped.select("*", *transformed()), "stats")
     stats = whole.where("not base_failed").select("g", *(f"x{i}" for i in range(P)))
     estimate = work.keep(starting(stats, work).select(*estimate_columns()), "step0")
     for step in range(STEPS):
-        estimate = work.keep(concentrated(stats, estimate), f"step{step + 1}")
+        estimate = work.keep(concentrated(stats, estimate, work, step), f"step{step + 1}")
     enough = stats.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST).select("g")
+    estimate = work.keep(estimate.join(enough, "g", "left_semi"), "final")
     limit = chi_square_quantile(QUANTILE, P)
-    judged = measured(whole, estimate.join(enough, "g", "left_semi"), "left")
+    judged = measured(whole, estimate, "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "row")
 
