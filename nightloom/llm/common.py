@@ -71,6 +71,16 @@ def crc_mod(doc_id, n: int):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def bounded_sample(rows: DataFrame, n: int, *keep: str) -> DataFrame:
+    """The n rows whose doc_id hashes least: the same ones in every run."""
+    return rows.orderBy(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), *keep).limit(n)
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """At most four tasks per core, without a shuffle: for passes whose every task returns a table."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 # ---------------------------------------------------------------------------- vectorised tokens
 
 
@@ -128,9 +138,10 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokens(column, kind: str = "space", fold: bool = True, piece: int = PIECE_BYTES):
-    """Yields (first row, word bounds by row, hashes, first and last byte, bytes) by pieces of rows.
+    """Yields (first row, word bounds by row, hashes, first byte, end byte, hash_of) by pieces of rows.
 
-    bounds[i]:bounds[i + 1] are the words of row first + i.
+    bounds[i]:bounds[i + 1] are the words of row first + i; hash_of(start, end) hashes other spans
+    of the piece's bytes in the same way.
     """
     buf, offs = text_bytes(column)
     n, row = len(offs) - 1, 0
@@ -143,7 +154,7 @@ def tokens(column, kind: str = "space", fold: bool = True, piece: int = PIECE_BY
         size = len(part)
         if not size:
             empty = np.zeros(0, np.int64)
-            yield row, np.zeros(stop - row + 1, np.int64), np.zeros(0, np.uint64), empty, empty, part
+            yield row, np.zeros(stop - row + 1, np.int64), np.zeros(0, np.uint64), empty, empty, lambda s, e: np.zeros(0, np.uint64)
             row = stop
             continue
         is_word = word_table[part]
@@ -160,9 +171,11 @@ def tokens(column, kind: str = "space", fold: bool = True, piece: int = PIECE_BY
         power, inverse = powers(max(20, int(size).bit_length()))
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(value_table[part] * power[:size], out=sums[1:])
-        h = (sums[end] - sums[start]) * inverse[start]
-        h = mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-        yield row, np.searchsorted(start, local), h, start, end, part
+
+        def hash_of(s, e, sums=sums, inverse=inverse):
+            return mix(((sums[e] - sums[s]) * inverse[s]) ^ ((e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+        yield row, np.searchsorted(start, local), hash_of(start, end), start, end, hash_of
         row = stop
 
 
