@@ -6,7 +6,6 @@ word is carried as a 64-bit hash of its (lower-cased) UTF-8 bytes.
 
 from __future__ import annotations
 
-import functools
 import os
 import tempfile
 import uuid
@@ -84,7 +83,6 @@ def few_tasks(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------- vectorised tokens
 
 
-@functools.lru_cache(maxsize=4)
 def byte_classes(kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Which bytes belong to words, and each byte's value after lower-casing A-Z, plus 1."""
     code = np.arange(256)
@@ -102,9 +100,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@functools.lru_cache(maxsize=8)
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2^64."""
     out = []
     for base in (_BASE, _BASE_INVERSE):
         p = np.full(n, base, np.uint64)
@@ -147,6 +144,8 @@ def tokens(column, kind: str = "space", fold: bool = True, piece: int = PIECE_BY
     n, row = len(offs) - 1, 0
     word_table, fold_table = byte_classes(kind)
     value_table = fold_table if fold else np.arange(1, 257).astype(np.uint64)
+    longest = int(np.diff(offs).max()) if n else 0
+    power, inverse = powers(max(1, min(int(offs[-1] - offs[0]), max(piece, longest)) + 1))
     while row < n:
         stop = max(row + 1, int(np.searchsorted(offs, offs[row] + piece, "right")) - 1)
         part = buf[offs[row] : offs[stop]]
@@ -168,7 +167,6 @@ def tokens(column, kind: str = "space", fold: bool = True, piece: int = PIECE_BY
         after[-1] = False
         after[:-1] = is_word[1:]
         end = np.flatnonzero(is_word & (~after | cut[1:])) + 1
-        power, inverse = powers(max(20, int(size).bit_length()))
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(value_table[part] * power[:size], out=sums[1:])
 

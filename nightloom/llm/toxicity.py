@@ -4,7 +4,7 @@ Positives are documents labelled toxic, unlabelled ones any documents; both come
 which ``crc32(doc_id as text) mod 3`` is not 1, up to MAX_POSITIVE and MAX_UNLABELLED of them (the
 bound on the sample that the model is fitted on). Features are hashed words and hashed word
 beginnings (PREFIXES bytes), present or not. Those that tell the two samples apart best (FEATURES of
-them, by the score of their difference, if LIFT times as frequent among positives) enter a linear model trained in numpy with the non-negative risk
+them, by the score of their difference, if at least PURITY of the texts they mark must be positive) enter a linear model trained in numpy with the non-negative risk
 
     prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)),
 
@@ -26,7 +26,7 @@ from .common import Workspace, bounded_sample, crc_mod, documents, table, tokens
 
 MAX_POSITIVE, MAX_UNLABELLED, FEATURES = 4000, 12000, 4096
 BITS, PREFIXES = 20, (4, 5, 6)
-THRESHOLD, EPOCHS, PENALTY, LIFT = 0.7, 300, 1e-4, 3
+THRESHOLD, EPOCHS, PENALTY, PURITY = 0.7, 300, 1e-4, 0.6
 
 
 def piece_features(h: np.ndarray, start: np.ndarray, end: np.ndarray, hash_of) -> np.ndarray:
@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, trainable) -> tuple[np.ndarray, fl
     rate_p, rate_u = F.col("p") / n_p, (F.col("all") - F.col("p")) / max(1, n_u)
     pooled = F.col("all") / (n_p + n_u)
     gap = (rate_p - rate_u) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / max(1, n_u)) + 1e-12)
-    best = seen.where((F.col("p") >= 3) & (rate_p >= LIFT * rate_u)).select("f", gap.alias("z")).where("z > 3").orderBy(F.desc("z"), "f").limit(FEATURES).collect()
+    best = seen.where((F.col("p") >= 3) & (rate_p * float(share["p"]) >= PURITY * rate_u)).select("f", gap.alias("z")).where("z > 3").orderBy(F.desc("z"), "f").limit(FEATURES).collect()
     chosen = np.array(sorted(r["f"] for r in best), np.int64)
     sc = spark.sparkContext
     frame = feature_rows(usable.join(picked, "doc_id"), sc.broadcast(chosen)).toPandas()
