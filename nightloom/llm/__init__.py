@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_model, line_dedup, mixing, near_dedup, quality_model, quality_rules, toxicity
+from . import decontaminate, html_extract, language_model, license_scan, line_dedup, mixing, near_dedup, quality_model, quality_rules, toxicity
 
-MODULES = (line_dedup, decontaminate, html_extract, near_dedup, quality_rules, mixing, toxicity, quality_model, language_model)
+MODULES = (line_dedup, license_scan, decontaminate, html_extract, near_dedup, quality_rules, mixing, toxicity, quality_model, language_model)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
