@@ -1 +1 @@
-
+"""Column functions on pixels and on header maps."""
