@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,7 +129,8 @@ def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql:
-            ORACLES[name] = sql
+            # off exact halves, as rounded() does
+            ORACLES[name] = re.sub(r", ([46])\) \+ 0e0", r" + 1e-9, \1) + 0e0", sql)
         return f
 
     return register
@@ -136,7 +138,7 @@ def query(name: str, sql: str | None = None):
 
 def pixel_sql(ctes: str, select: dict[str, str], source: str = "px", frame: str = HEAT) -> str:
     """SQL that gives y, x and rounded channels."""
-    columns = ", ".join(f"round({v} + 1e-9, 6) + 0e0 AS {k}" for k, v in select.items())
+    columns = ", ".join(f"round({v}, 6) + 0e0 AS {k}" for k, v in select.items())
     return f"WITH {frame}{',' if ctes else ''}{ctes} SELECT y, x, {columns} FROM {source}"
 
 
@@ -231,7 +233,7 @@ def map_quantise16(spark, d):
     return channels(pixels.quantise16(heat_frame(spark, d)))
 
 
-@query("flt_crop", "WITH " + HEAT + " SELECT CAST(y - 4 AS INTEGER) AS y, CAST(x - 8 AS INTEGER) AS x, round(r + 1e-9, 6) + 0e0 AS r, round(g + 1e-9, 6) + 0e0 AS g, round(b + 1e-9, 6) + 0e0 AS b FROM px WHERE y >= 4 AND y < 28 AND x >= 8 AND x < 30")
+@query("flt_crop", "WITH " + HEAT + " SELECT CAST(y - 4 AS INTEGER) AS y, CAST(x - 8 AS INTEGER) AS x, round(r, 6) + 0e0 AS r, round(g, 6) + 0e0 AS g, round(b, 6) + 0e0 AS b FROM px WHERE y >= 4 AND y < 28 AND x >= 8 AND x < 30")
 def flt_crop(spark, d):
     return channels(pixels.crop(heat_frame(spark, d), 32, 32, 4, 8, -4, 30))
 
