@@ -5,8 +5,10 @@
 2. Texts with the same set form one class, whose node is its smallest doc_id; only nodes go on.
 3. Nodes that share a band meet in a bucket. First, each node is held against one pivot, the
    most connected node of its buckets, so that a group of copies needs one pair per member.
-4. Buckets that still hold nodes of several groups are compared whole, in blocks of bounded size
-   that tasks share, by the signatures' bytes. There is no cap on buckets or pairs.
+4. Buckets that still hold nodes of several components are compared by the signatures' bytes, whole,
+   in blocks of bounded size that tasks share: first the best-agreeing pairs of any two components
+   are tried, which joins nearly all that belong together; then, among the components still apart,
+   all agreeing pairs. There is no cap on buckets or pairs.
 5. Candidate pairs are confirmed on their full sets (100 * intersection >= 100 s * union).
 6. Components: alternating large-star and small-star rounds on the links until nothing changes.
 
@@ -31,7 +33,7 @@ BANDS, ROWS = 40, 6
 #: Signature bytes may disagree so much below the threshold before a pair is dropped unseen:
 #: 240 bytes, standard deviation 0.026 at 0.8.
 SLACK = 0.11
-BLOCK = 512
+BLOCK, BEST = 512, 3
 
 
 def shingle_sets(column, words: int):
@@ -149,14 +151,16 @@ def alike(need: int):
     return run
 
 
-def agreeing(least: float, sig_bytes: int):
+def agreeing(need: int, bands: int, best: int | None):
     """A function for mapInPandas over rows sorted by (bucket, i, j): pairs across groups of a
-    bucket, or of two of its blocks, whose signatures agree."""
-    need = bytes_needed(least, sig_bytes)
+    bucket, or of two of its blocks, whose signatures agree. A pair is given in the first band that
+    it shares only; with `best`, just that many best-agreeing pairs for any two groups."""
 
     def pairs_of(rows: pd.DataFrame):
         node, group, side = rows["node"].to_numpy(), rows["grp"].to_numpy(), rows["blk"].to_numpy()
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+        keys = np.concatenate(rows["keys"].to_numpy()).reshape(len(rows), bands)
+        band = int(np.flatnonzero(keys[0] == rows["bucket"].iloc[0])[0])
         i, j = rows["i"].iloc[0], rows["j"].iloc[0]
         left = np.flatnonzero(side == i)
         right = np.flatnonzero(side == j) if i != j else left
@@ -166,9 +170,22 @@ def agreeing(least: float, sig_bytes: int):
             if i == j:
                 others = others[others > x]
             if len(others):
-                ok = others[(sig[others] == sig[x]).sum(1) >= need]
-                found.extend((min(node[x], node[y]), max(node[x], node[y])) for y in ok)
-        return found
+                same = (sig[others] == sig[x]).sum(1)
+                others, same = others[same >= need], same[same >= need]
+                if len(others):
+                    first = (keys[others] == keys[x]).argmax(1) == band
+                    found.extend((int(n), int(x), int(y)) for y, n in zip(others[first], same[first]))
+        if best is not None and len(found) > best:
+            taken: dict = {}
+            found.sort(reverse=True)
+            kept = []
+            for f in found:
+                pair = (min(group[f[1]], group[f[2]]), max(group[f[1]], group[f[2]]))
+                taken[pair] = taken.get(pair, 0) + 1
+                if taken[pair] <= best:
+                    kept.append(f)
+            found = kept
+        return [(min(node[x], node[y]), max(node[x], node[y])) for _, x, y in found]
 
     def run(frames):
         rest = None
@@ -188,7 +205,18 @@ def agreeing(least: float, sig_bytes: int):
     return run
 
 
-def components(links: DataFrame, work: Workspace, limit: int = 64) -> DataFrame:
+def across(met: DataFrame, group: DataFrame, sig: DataFrame, need: int, bands: int, best: int | None) -> DataFrame:
+    """Agreeing pairs (a < b) of buckets that hold nodes of several groups (node, grp)."""
+    grouped = met.join(group, "node", "left").select("bucket", "node", F.coalesce("grp", "node").alias("grp"))
+    split = grouped.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
+    laid = grouped.join(split, "bucket").select("bucket", "node", "grp", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("blk"))
+    laid = laid.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("bucket", "node", "grp", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+    laid = laid.join(sig, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return laid.mapInPandas(agreeing(need, bands, best), "a long, b long").distinct()
+
+
+def components(links: DataFrame, work: Workspace, name: str = "", limit: int = 64) -> DataFrame:
     """node, root: the smallest node that links (a, b) reach, by alternating large-star and small-star.
 
     Every round is written to the shared folder. Hubs are never gathered: a star's centre is a
@@ -198,7 +226,7 @@ def components(links: DataFrame, work: Workspace, limit: int = 64) -> DataFrame:
     def edges(df, u, v):
         return df.select(F.least(u, v).alias("lo"), F.greatest(u, v).alias("hi")).where("lo <> hi").distinct()
 
-    now = work.keep(edges(links, "a", "b"), "edges0")
+    now = work.keep(edges(links, "a", "b"), f"{name}edges0")
     state = None
     for n in range(1, limit + 1):
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(now.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
@@ -207,9 +235,9 @@ def components(links: DataFrame, work: Workspace, limit: int = 64) -> DataFrame:
         large = large.select("lo", "hi").where("lo <> hi").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("x"), F.col("m")), F.struct(F.col("hi").alias("x"), F.col("m")))).alias("e"))
-        now = work.keep(edges(small, "e.x", "e.m"), f"edges{n}")
+        now = work.keep(edges(small, "e.x", "e.m"), f"{name}edges{n}")
         seen = now.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("lo", "hi")), F.lit(0)).alias("x")).first()
-        work.drop(f"edges{n - 1}")
+        work.drop(f"{name}edges{n - 1}")
         if seen == state or not seen["n"]:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         state = seen
@@ -237,22 +265,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
     pivot = ranked.groupBy("bucket").agg(F.max("ties").alias("top")).join(ranked, "bucket").where("ties = top").groupBy("bucket", "top").agg(F.min("node").alias("a"))
     tried = met.join(pivot, "bucket").where("a <> node")
     best = tried.groupBy("node").agg(F.max("top").alias("top")).join(tried, ["node", "top"]).groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
-    sig = own.select("node", "sig").dropDuplicates(["node"])
-    pairs = work.keep(best.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").select("a", "b", "sig_a", "sig_b").mapInPandas(alike(bytes_needed(threshold / 100 - SLACK, bands * rows)), "a long, b long"), "tried")
-    star = work.keep(confirmed(pairs, docs, nodes, words, threshold), "star")
-    # groups so far: a pivot, or the pivot's own pivot
-    up = star.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    group = up.alias("p").join(up.select(F.col("y").alias("a2"), F.col("x").alias("top")).alias("q"), F.col("p.x") == F.col("q.a2"), "left").select(F.col("y").alias("node"), F.coalesce("top", "x").alias("grp"))
-    grouped = met.join(group, "node", "left").select("bucket", "node", F.coalesce("grp", "node").alias("grp"))
-    split = grouped.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    laid = grouped.join(split, "bucket").select("bucket", "node", "grp", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("blk"))
-    laid = laid.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("bucket", "node", "grp", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-    laid = laid.join(sig, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = laid.mapInPandas(agreeing(threshold / 100 - SLACK, bands * rows), "a long, b long").distinct()
-    more = work.keep(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
-    links = star.unionByName(confirmed(more, docs, nodes, words, threshold))
-    root = components(links, work)
+    sig = own.select("node", "sig", "keys").dropDuplicates(["node"])
+    need = bytes_needed(threshold / 100 - SLACK, bands * rows)
+    end = lambda c: sig.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+    pairs = work.keep(best.join(end("b"), "b").join(end("a"), "a").select("a", "b", "sig_a", "sig_b").mapInPandas(alike(need), "a long, b long"), "tried")
+    links = work.keep(confirmed(pairs, docs, nodes, words, threshold), "star")
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    root = components(links, work, "star")
+    # first the best pairs between groups, then, of what is still apart, all pairs
+    for step, few in (("best", BEST), ("all", None)):
+        more = across(met, root.withColumnRenamed("root", "grp"), sig, need, bands, few)
+        more = work.keep(more.join(tried, ["a", "b"], "left_anti"), f"{step}_tried")
+        tried = tried.unionByName(more)
+        links = links.unionByName(work.keep(confirmed(more, docs, nodes, words, threshold), f"{step}_links"))
+        root = components(links, work, step)
     named = classes.join(root, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named.withColumn("some", F.lit(True)), ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
