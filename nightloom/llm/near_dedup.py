@@ -6,7 +6,7 @@
 3. Nodes that share a band meet in a bucket. First, each node is held against one pivot, the
    most connected node of its buckets, so that a group of copies needs one pair per member.
 4. Buckets that still hold nodes of several components are compared by the signatures' bytes, whole,
-   in blocks of bounded size that tasks share: first the best-agreeing pairs of any two components
+   in blocks of bounded size that tasks share: first the best-agreeing pairs of each node
    are tried, which joins nearly all that belong together; then, among the components still apart,
    all agreeing pairs. There is no cap on buckets or pairs.
 5. Candidate pairs are confirmed on their full sets (100 * intersection >= 100 s * union).
@@ -154,7 +154,8 @@ def alike(need: int):
 def agreeing(need: int, bands: int, best: int | None):
     """A function for mapInPandas over rows sorted by (bucket, i, j): pairs across groups of a
     bucket, or of two of its blocks, whose signatures agree. A pair is given in the first band that
-    it shares only; with `best`, just that many best-agreeing pairs for any two groups."""
+    it shares only; with `best`, just that many best-agreeing pairs for every node, so that their
+    number grows with the nodes."""
 
     def pairs_of(rows: pd.DataFrame):
         node, group, side = rows["node"].to_numpy(), rows["grp"].to_numpy(), rows["blk"].to_numpy()
@@ -176,14 +177,14 @@ def agreeing(need: int, bands: int, best: int | None):
                     first = (keys[others] == keys[x]).argmax(1) == band
                     found.extend((int(n), int(x), int(y)) for y, n in zip(others[first], same[first]))
         if best is not None and len(found) > best:
-            taken: dict = {}
-            found.sort(reverse=True)
+            given: dict = {}
             kept = []
-            for f in found:
-                pair = (min(group[f[1]], group[f[2]]), max(group[f[1]], group[f[2]]))
-                taken[pair] = taken.get(pair, 0) + 1
-                if taken[pair] <= best:
+            for f in sorted(found, reverse=True):
+                # a pair is given for the sake of either of its nodes
+                if min(given.get(f[1], 0), given.get(f[2], 0)) < best:
                     kept.append(f)
+                    given[f[1]] = given.get(f[1], 0) + 1
+                    given[f[2]] = given.get(f[2], 0) + 1
             found = kept
         return [(min(node[x], node[y]), max(node[x], node[y])) for _, x, y in found]
 
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
     links = work.keep(confirmed(pairs, docs, nodes, words, threshold), "star")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     root = components(links, work, "star")
-    # first the best pairs between groups, then, of what is still apart, all pairs
+    # first the best pairs of each node, then, of what is still apart, all pairs
     for step, few in (("best", BEST), ("all", None)):
         more = across(met, root.withColumnRenamed("root", "grp"), sig, need, bands, few)
         more = work.keep(more.join(tried, ["a", "b"], "left_anti"), f"{step}_tried")

@@ -127,8 +127,8 @@ def angle(part: Column, whole: Column) -> Column:
 
 def transformed() -> list[Column]:
     """The five statistics in units of 1/UNIT, as whole numbers."""
-    n = F.col("n_words")
-    raw = [F.log(n), F.log(F.col("word_chars") / n), angle(F.col("n_symbols"), F.col("word_chars")), angle(F.col("n_dup_lines"), F.col("n_lines")), angle(F.col("n_repeat_words"), n)]
+    n, letters = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars"))
+    raw = [F.log(n), F.log(letters / n), angle(F.col("n_symbols"), F.col("word_chars")), angle(F.col("n_dup_lines"), F.col("n_lines")), angle(F.col("n_repeat_words"), n)]
     return [F.round(x * UNIT).cast("long").alias(f"x{i}") for i, x in enumerate(raw)]
 
 
