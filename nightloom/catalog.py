@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .frames import CHANNELS, SKY_H, SKY_W, clip, heat_frame, luma, rounded, sky_frame, sky_stars, table, with_stats
 from .functions import pixels
-from .operators import jobs, neighbourhood, sky, stats
+from .operators import classify, jobs, neighbourhood, sky, stats
+from .sources import headers
 
 SKY_PROJECTION = sky.Projection(180.0, 0.0, 64.0, 48.0, (-0.001, 0.0, 0.0, 0.001))
 
@@ -440,6 +441,27 @@ def str_expired_jobs(spark, d):
     return jobs.expired(job_rows(spark, d))
 
 
+# ------------------------------------------------------------------------------ headers and kinds
+
+
+@query("src_header", "SELECT n_nationkey, CASE WHEN n_nationkey < 20 THEN CAST(2 * n_nationkey * 100 * 3 * 1000 AS BIGINT) END AS size, CASE n_regionkey WHEN 0 THEN 'BGGR' WHEN 1 THEN 'GRBG' ELSE 'RGGB' END AS pattern FROM nation")
+def src_header(spark, d):
+    """Headers made of nations: size is null where the number of axes is refused."""
+    key, region = F.col("n_nationkey"), F.col("n_regionkey")
+    said = {
+        "BITPIX": F.lit("16 / bits"), "NAXIS": F.when(key < 20, F.lit("3")).otherwise(F.lit("5")), "NAXIS1": (key * 100).cast("string"), "NAXIS2": F.lit("1000"), "NAXIS3": F.lit("3"),
+        "CFAPAT": F.when(region == 0, F.lit("'bggr'")).when(region == 1, F.lit("'GRBG  '")).otherwise(F.lit("'none'")),
+    }
+    header = F.concat(*(F.rpad(F.concat(F.lit(f"{k:<8}= "), v), headers.CARD, F.lit(" ")) for k, v in said.items()))
+    values = table(spark, d, "nation").select("n_nationkey", headers.header_values(header).alias("v"))
+    return values.select("n_nationkey", headers.declared_bytes(F.col("v")).alias("size"), headers.colour_pattern(F.col("v")).alias("pattern"))
+
+
+@query("num_classify")
+def num_classify(spark, d):
+    return classify.classified(sky_frame(spark, d), SKY_H, SKY_W)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
