@@ -6,10 +6,9 @@
 3. Nodes that share a band meet in a bucket. First, each node is held against one pivot, the
    most connected node of its buckets, so that a group of copies needs one pair per member.
 4. Buckets that still hold nodes of several components are compared by the signatures' bytes, whole,
-   in blocks of bounded size that tasks share: first the best-agreeing pairs of each node
-   are tried, which joins nearly all that belong together; then, among the components still apart,
-   all agreeing pairs. There is no cap on buckets or pairs.
-5. Candidate pairs are confirmed on their full sets (100 * intersection >= 100 s * union).
+   in blocks of bounded size that tasks share. Agreeing pairs are confirmed within the block, and only
+   links that join what the block has not joined yet leave it. There is no cap on buckets or pairs.
+5. Every link is confirmed on full sets (100 * intersection >= 100 s * union).
 6. Components: alternating large-star and small-star rounds on the links until nothing changes.
 
 At the threshold s = 0.8, 40 bands of 6 rows miss a link with probability (1 - 0.8^6)^40 < 6e-6.
@@ -33,7 +32,8 @@ BANDS, ROWS = 40, 6
 #: Signature bytes may disagree so much below the threshold before a pair is dropped unseen:
 #: 240 bytes, standard deviation 0.026 at 0.8.
 SLACK = 0.11
-BLOCK, BEST = 512, 3
+#: A block holds about so many nodes and shingles at most.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def shingle_sets(column, words: int):
@@ -151,42 +151,44 @@ def alike(need: int):
     return run
 
 
-def agreeing(need: int, bands: int, best: int | None):
-    """A function for mapInPandas over rows sorted by (bucket, i, j): pairs across groups of a
-    bucket, or of two of its blocks, whose signatures agree. A pair is given in the first band that
-    it shares only; with `best`, just that many best-agreeing pairs for every node, so that their
-    number grows with the nodes."""
+def linked(threshold: int, need: int, bands: int):
+    """A function for mapInPandas over rows sorted by (bucket, i, j): links across the groups of a
+    bucket, or of two of its blocks.
 
-    def pairs_of(rows: pd.DataFrame):
-        node, group, side = rows["node"].to_numpy(), rows["grp"].to_numpy(), rows["blk"].to_numpy()
+    Pairs whose signatures agree are confirmed on their full sets here, in the first band that they
+    share, unless the block's links so far already join them. So at most one link for each row leaves
+    a block, however many of its pairs are alike, and the components are those of all links."""
+
+    def links_of(rows: pd.DataFrame):
+        node, side = rows["node"].to_numpy(), rows["blk"].to_numpy()
+        sets = [np.asarray(s, np.int64).view(np.uint64) for s in rows["set"]]
+        size = np.array([len(s) for s in sets])
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
         keys = np.concatenate(rows["keys"].to_numpy()).reshape(len(rows), bands)
         band = int(np.flatnonzero(keys[0] == rows["bucket"].iloc[0])[0])
         i, j = rows["i"].iloc[0], rows["j"].iloc[0]
         left = np.flatnonzero(side == i)
         right = np.flatnonzero(side == j) if i != j else left
+        # the group of each row as far as the links found here go
+        group = np.unique(rows["grp"].to_numpy(), return_inverse=True)[1]
         found = []
         for x in left:
             others = right[group[right] != group[x]]
             if i == j:
                 others = others[others > x]
-            if len(others):
-                same = (sig[others] == sig[x]).sum(1)
-                others, same = others[same >= need], same[same >= need]
-                if len(others):
-                    first = (keys[others] == keys[x]).argmax(1) == band
-                    found.extend((int(n), int(x), int(y)) for y, n in zip(others[first], same[first]))
-        if best is not None and len(found) > best:
-            given: dict = {}
-            kept = []
-            for f in sorted(found, reverse=True):
-                # a pair is given for the sake of either of its nodes
-                if min(given.get(f[1], 0), given.get(f[2], 0)) < best:
-                    kept.append(f)
-                    given[f[1]] = given.get(f[1], 0) + 1
-                    given[f[2]] = given.get(f[2], 0) + 1
-            found = kept
-        return [(min(node[x], node[y]), max(node[x], node[y])) for _, x, y in found]
+            others = others[100 * np.minimum(size[others], size[x]) >= threshold * np.maximum(size[others], size[x])]
+            others = others[(sig[others] == sig[x]).sum(1) >= need]
+            others = others[(keys[others] == keys[x]).argmax(1) == band]
+            if not len(others):
+                continue
+            flat = np.concatenate([sets[y] for y in others])
+            at = np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)
+            shared = np.add.reduceat((sets[x][at] == flat).astype(np.int64), np.cumsum(size[others]) - size[others])
+            for y in others[100 * shared >= threshold * (size[others] + size[x] - shared)]:
+                if group[x] != group[y]:
+                    group[group == group[y]] = group[x]
+                    found.append((min(node[x], node[y]), max(node[x], node[y])))
+        return found
 
     def run(frames):
         rest = None
@@ -197,24 +199,27 @@ def agreeing(need: int, bands: int, best: int | None):
             cuts = [0, *edge.tolist()]
             found = []
             for s, e in zip(cuts, cuts[1:]):
-                found.extend(pairs_of(frame.iloc[s:e]))
+                found.extend(links_of(frame.iloc[s:e]))
             rest = frame.iloc[cuts[-1] :]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
         if rest is not None and len(rest):
-            yield pd.DataFrame(pairs_of(rest), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(links_of(rest), columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def across(met: DataFrame, group: DataFrame, sig: DataFrame, need: int, bands: int, best: int | None) -> DataFrame:
-    """Agreeing pairs (a < b) of buckets that hold nodes of several groups (node, grp)."""
-    grouped = met.join(group, "node", "left").select("bucket", "node", F.coalesce("grp", "node").alias("grp"))
-    split = grouped.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
+def across(met: DataFrame, group: DataFrame, sig: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: int, need: int, bands: int, work: Workspace) -> DataFrame:
+    """Confirmed links (a < b) in buckets that hold nodes of several groups (node, grp)."""
+    grouped = met.join(group, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("grp", "node").alias("grp"))
+    split = grouped.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("size"), F.sum("n_shingles").alias("weight")).where("lo <> hi").select("bucket", "size", "weight")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     laid = grouped.join(split, "bucket").select("bucket", "node", "grp", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("blk"))
     laid = laid.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("bucket", "node", "grp", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-    laid = laid.join(sig, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return laid.mapInPandas(agreeing(need, bands, best), "a long, b long").distinct()
+    laid = work.keep(laid, "laid")
+    wanted = nodes.join(laid.select("node").distinct(), "node", "left_semi")
+    sets = full_sets(docs, wanted, words).join(sig, "node")
+    placed = laid.join(sets, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return placed.mapInPandas(linked(threshold, need, bands), "a long, b long")
 
 
 def components(links: DataFrame, work: Workspace, name: str = "", limit: int = 64) -> DataFrame:
@@ -257,7 +262,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
     nodes = classes.where("node is not null").select("node", "h1", "h2")
     own = signed.withColumnRenamed("doc_id", "node").join(nodes, ["node", "h1", "h2"], "left_semi")
 
-    member = own.select("node", F.explode("keys").alias("bucket"))
+    member = own.select("node", "n_shingles", F.explode("keys").alias("bucket"))
     crowd = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket", "n")
     met = work.keep(member.join(crowd, "bucket"), "met")
     # the most connected node of each bucket is its pivot; each node tries the best one it meets
@@ -271,15 +276,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
     end = lambda c: sig.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     pairs = work.keep(best.join(end("b"), "b").join(end("a"), "a").select("a", "b", "sig_a", "sig_b").mapInPandas(alike(need), "a long, b long"), "tried")
     links = work.keep(confirmed(pairs, docs, nodes, words, threshold), "star")
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     root = components(links, work, "star")
-    # first the best pairs of each node, then, of what is still apart, all pairs
-    for step, few in (("best", BEST), ("all", None)):
-        more = across(met, root.withColumnRenamed("root", "grp"), sig, need, bands, few)
-        more = work.keep(more.join(tried, ["a", "b"], "left_anti"), f"{step}_tried")
-        tried = tried.unionByName(more)
-        links = links.unionByName(work.keep(confirmed(more, docs, nodes, words, threshold), f"{step}_links"))
-        root = components(links, work, step)
+    # then whatever is still apart
+    more = across(met, root.withColumnRenamed("root", "grp"), sig, docs, nodes, words, threshold, need, bands, work)
+    links = links.unionByName(work.keep(more, "more_links"))
+    root = components(links, work, "all")
     named = classes.join(root, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named.withColumn("some", F.lit(True)), ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

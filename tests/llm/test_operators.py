@@ -53,6 +53,33 @@ def low(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
+def classes_by_force(sets):
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def test_near_dedup_of_a_large_loose_group(spark, monkeypatch):
+    """Similarities about the threshold, so that many components meet in the same buckets, cut into blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng, base, loose = random.Random(5), words(100, 9), []
+    for i in range(160):
+        w = list(base)
+        for at in rng.sample(range(100), rng.randrange(2, 16)):
+            w[at] = f"x{i}.{at}"
+        loose.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 2]) for i in range(99)} for t in loose]
+    frame = spark.createDataFrame(list(enumerate(loose)), "doc_id long, text string")
+    got = by_id(near_dedup.near_duplicates(frame, words=2), "component_id")
+    root = classes_by_force(sets)
+    assert len(set(root)) > 5
+    assert [got[i][0] for i in range(len(loose))] == root
+
+
 def test_near_dedup(docs, texts, nothing):
     got = near_dedup.near_duplicates(docs, words=2)
     assert got.count() == docs.count()
@@ -61,12 +88,7 @@ def test_near_dedup(docs, texts, nothing):
     for t in texts:
         w = WORD.findall(low(t))
         sets.append({tuple(w[i : i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else set(map(tuple, [w] if w else [])))
-    root = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
-                old, new = max(root[i], root[j]), min(root[i], root[j])
-                root = [new if r == old else r for r in root]
+    root = classes_by_force(sets)
     for i in range(len(texts)):
         assert got[i] == (len(sets[i]), root[i], root[i] == i)
     assert near_dedup.near_duplicates(nothing).count() == 0
