@@ -7,11 +7,13 @@ if over 20 % of its words lie in five-word windows that the text holds twice or
 
 Outliers: five transformed statistics per text (``transformed``) that pass the base rules. For each
 (lang, source) a minimum-covariance-determinant estimate: start from the group's medians and
-median deviations, then ``STEPS`` concentration steps, each taking the ``SUPPORT`` share of
-texts with the least Mahalanobis distance and re-estimating mean and covariance from them. The
-covariance is scaled to be consistent at the normal distribution, and a ridge (``FLOORS``
-squared) keeps it regular where a statistic hardly varies (symbols, repeated lines). Texts whose
-squared distance exceeds the chi-square quantile ``QUANTILE`` are rejected.
+median deviations, then concentration steps until no group's estimate moves (by ``STILL``), each
+taking the ``SUPPORT`` share of texts with the least Mahalanobis distance and re-estimating mean
+and covariance from them. The covariance is scaled to be consistent at the normal distribution.
+Where a statistic hardly varies in the support (symbols, repeated lines and words are mostly 0) its
+variance is raised to ``LEAST_VARIANCE`` over the count it is measured on, at the support's geometric
+mean: for a share, the sampling variance of its angle. Any other variance stays as estimated. Texts
+whose squared distance exceeds the chi-square quantile ``QUANTILE`` are rejected.
 
 Groups of under ``LEAST`` texts are pooled by language, and languages that stay under it are
 pooled into one group; a pool under it rejects none.
@@ -31,13 +33,17 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, maybe_broadcast
+from .common import Workspace, documents, few_tasks, maybe_broadcast
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
-SUPPORT, STEPS, QUANTILE, LEAST = 0.75, 3, 0.9999, 50
-#: Standard deviations added to every estimate: log words, log word length, and three shares as angles.
-FLOORS = (1.0, 0.25, 0.05, 0.3, 0.15)
-P = len(FLOORS)
+SUPPORT, QUANTILE, LEAST = 0.75, 0.9999, 50
+#: Concentration ends when means move by under so many deviations and variances by under this share; MAX_STEPS guards against supports that alternate.
+STILL, MAX_STEPS = 0.01, 50
+#: Least variances, times words, words, letters, lines and windows: log words, log word length, and three shares as angles.
+LEAST_VARIANCE = (0.25, 0.0025, 0.25, 0.25, 0.25)
+P = len(LEAST_VARIANCE)
+#: Of correlations: so much of each variance is added, which keeps the inverse regular.
+RIDGE = 1e-3
 UNIT = 4096
 SYMBOLS = "#*$%&|<>"
 
@@ -126,12 +132,18 @@ def angle(part: Column, whole: Column) -> Column:
 
 
 def transformed() -> list[Column]:
-    """The five statistics in units of 1/UNIT, as whole numbers."""
+    """The five statistics and the log of lines in units of 1/UNIT, as whole numbers."""
     n, letters = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars"))
     raw = [F.log(n), F.log(letters / n), angle(F.col("n_symbols"), F.col("word_chars")), angle(F.col("n_dup_lines"), F.col("n_lines")), angle(F.col("n_repeat_words"), n)]
+    raw.append(F.log(F.greatest(F.col("n_lines"), F.lit(1))))
     return [F.round(x * UNIT).cast("long").alias(f"x{i}") for i, x in enumerate(raw)]
 
 
+def least_variances(log_words: Column, log_length: Column, log_lines: Column) -> list[Column]:
+    counts = [log_words, log_words, log_words + log_length, log_lines, F.greatest(log_words - math.log(WINDOW), F.lit(0.0))]
+    return [F.lit(v) * F.exp(-n) for v, n in zip(LEAST_VARIANCE, counts)]
+
+
 def distance(mean: list[Column], inverse: list[list[Column]]) -> Column:
     """The squared Mahalanobis distance of x0.. from a mean."""
     d = [F.col(f"x{i}") / UNIT - m for i, m in enumerate(mean)]
@@ -191,15 +203,16 @@ def share_cut(values: DataFrame, bin_: Column, share: float, name: str, *keys: s
 
 def starting(stats: DataFrame, work: Workspace) -> DataFrame:
     """Medians and median absolute deviations (bins of 1/64) as a first mean and diagonal inverse."""
-    single = stats.select("g", F.posexplode(F.array(*(F.col(f"x{i}") / UNIT for i in range(P)))).alias("i", "x"))
+    single = stats.select("g", F.posexplode(F.array(*(F.col(f"x{i}") / UNIT for i in range(P + 1)))).alias("i", "x"))
     middle = share_cut(single, F.floor(F.col("x") * 64), 0.5, "b", "g", "i").select("g", "i", ((F.col("b") + 0.5) / 64).alias("mu"))
     middle = maybe_broadcast(work.keep(middle, "medians"))
     spread = share_cut(single.join(middle, ["g", "i"]), F.floor(F.abs(F.col("x") - F.col("mu")) * 64), 0.5, "b", "g", "i")
     both = middle.join(spread, ["g", "i"]).withColumn("s", 1.4826 * (F.col("b") + 0.5) / 64)
     pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
-    wide = both.groupBy("g").agg(*(pick("mu", i).alias(f"mu_{i}") for i in range(P)), *(pick("s", i).alias(f"s{i}") for i in range(P)))
+    wide = both.groupBy("g").agg(*(pick("mu", i).alias(f"mu_{i}") for i in range(P + 1)), *(pick("s", i).alias(f"s{i}") for i in range(P)))
+    least = least_variances(F.col("mu_0"), F.col("mu_1"), F.col(f"mu_{P}"))
     zero = {f"v_{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i + 1, P)}
-    own = {f"v_{i}_{i}": 1 / (F.col(f"s{i}") * F.col(f"s{i}") + FLOORS[i] ** 2) for i in range(P)}
+    own = {f"v_{i}_{i}": 1 / F.greatest(F.col(f"s{i}") * F.col(f"s{i}"), least[i]) for i in range(P)}
     return wide.withColumns(own | zero)
 
 
@@ -207,31 +220,40 @@ def estimate_columns() -> list[str]:
     return ["g", *(f"mu_{i}" for i in range(P)), *(f"v_{i}_{j}" for i in range(P) for j in range(i, P))]
 
 
-def measured(stats: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
+def measured(stats: DataFrame, estimate: DataFrame, hint, how: str = "inner") -> DataFrame:
     inverse = [[F.col(f"v_{min(i, j)}_{max(i, j)}") for j in range(P)] for i in range(P)]
-    return stats.join(maybe_broadcast(estimate), "g", how).withColumn("d2", distance([F.col(f"mu_{i}") for i in range(P)], inverse))
+    return stats.join(hint(estimate), "g", how).withColumn("d2", distance([F.col(f"mu_{i}") for i in range(P)], inverse))
 
 
-def concentrated(stats: DataFrame, estimate: DataFrame, work: Workspace, step: int) -> DataFrame:
+def concentrated(stats: DataFrame, estimate: DataFrame, hint) -> DataFrame:
     """One concentration step: mean and inverse covariance of the closest SUPPORT share."""
-    near = measured(stats, estimate).withColumn("bin", F.floor(F.log1p(F.least(F.col("d2"), F.lit(1e9))) * 256))
+    near = measured(stats, estimate, hint).withColumn("bin", F.floor(F.log1p(F.least(F.col("d2"), F.lit(1e9))) * 256))
     cut = share_cut(near, F.col("bin"), SUPPORT, "cut", "g")
-    inside = near.join(maybe_broadcast(work.keep(cut, f"cut{step}")), "g").where("bin <= cut")
+    inside = near.join(hint(cut), "g").where("bin <= cut")
     exact = lambda c: F.sum(c.cast("decimal(20,0)"))
-    sums = [F.count("*").alias("n"), *(exact(F.col(f"x{i}")).alias(f"s_{i}") for i in range(P)), *(exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q_{i}_{j}") for i in range(P) for j in range(i, P))]
+    sums = [F.count("*").alias("n"), *(exact(F.col(f"x{i}")).alias(f"s_{i}") for i in range(P + 1)), *(exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q_{i}_{j}") for i in range(P) for j in range(i, P))]
     got = inside.groupBy("g").agg(*sums)
     n = F.col("n").cast("double")
-    mean = {f"mu_{i}": F.col(f"s_{i}").cast("double") / n / UNIT for i in range(P)}
+    mean = {f"mu_{i}": F.col(f"s_{i}").cast("double") / n / UNIT for i in range(P + 1)}
     got = got.withColumns(mean)
+    least = least_variances(F.col("mu_0"), F.col("mu_1"), F.col(f"mu_{P}"))
     scale = consistency(SUPPORT, P)
     cov = {}
     for i in range(P):
         for j in range(i, P):
             c = (F.col(f"q_{i}_{j}").cast("double") / n / (UNIT * UNIT) - F.col(f"mu_{i}") * F.col(f"mu_{j}")) * scale
-            cov[f"c_{i}_{j}"] = c + FLOORS[i] ** 2 if i == j else c
+            cov[f"c_{i}_{j}"] = F.greatest(c, least[i]) * (1 + RIDGE) if i == j else c
     return invert(got.withColumns(cov)).select(*estimate_columns())
 
 
+def moved(old: DataFrame, new: DataFrame) -> bool:
+    """Whether any group's estimate moved by more than STILL."""
+    both = new.join(old.select("g", *(F.col(c).alias(f"old_{c}") for c in estimate_columns()[1:])), "g")
+    means = [F.abs(F.col(f"mu_{i}") - F.col(f"old_mu_{i}")) * F.sqrt(F.col(f"v_{i}_{i}")) for i in range(P)]
+    spreads = [F.abs(F.col(f"v_{i}_{i}") / F.col(f"old_v_{i}_{i}") - 1) for i in range(P)]
+    return (both.agg(F.max(F.greatest(*means, *spreads)).alias("most")).first()["most"] or 0.0) > STILL
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row,
 
@@ -249,14 +271,19 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     groups = maybe_broadcast(work.keep(sizes.select("lang", "source", name.alias("g")), "groups"))
     grouped = counts.alias("t").join(groups.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "g"), F.col("t.lang").eqNullSafe(F.col("gl")) & F.col("t.source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs", "lang", "source")
     whole = work.keep(grouped.select("*", *transformed()), "stats")
-    stats = whole.where("not base_failed").select("g", *(f"x{i}" for i in range(P)))
-    estimate = work.keep(starting(stats, work).select(*estimate_columns()), "step0")
-    for step in range(STEPS):
-        estimate = work.keep(concentrated(stats, estimate, work, step), f"step{step + 1}")
+    stats = whole.where("not base_failed").select("g", *(f"x{i}" for i in range(P + 1)))
+    # one row a group: whether that is broadcast is decided once for all steps
+    few = groups.count() <= 100_000
+    hint = lambda df: F.broadcast(df) if few else df
+    estimate = work.keep(few_tasks(starting(stats, work).select(*estimate_columns())), "step0")
+    for step in range(MAX_STEPS):
+        last, estimate = estimate, work.keep(few_tasks(concentrated(stats, estimate, hint)), f"step{step + 1}")
+        if not moved(last, estimate):
+            break
     enough = stats.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST).select("g")
-    estimate = work.keep(estimate.join(enough, "g", "left_semi"), "final")
+    estimate = work.keep(few_tasks(estimate.join(enough, "g", "left_semi")), "final")
     limit = chi_square_quantile(QUANTILE, P)
-    judged = measured(whole, estimate, "left")
+    judged = measured(whole, estimate, hint, "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "row")
 

@@ -161,6 +161,28 @@ def test_quality_rules(docs, texts, nothing):
     assert quality_rules.quality_rules(nothing).count() == 0
 
 
+def test_each_statistic_of_the_quality_rules_rejects(spark):
+    rng = random.Random(3)
+
+    def text(n, per_line=10, make=lambda w, k: w):
+        w = [make("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9))), k) for k in range(n)]
+        return [" ".join(w[i : i + per_line]) for i in range(0, n, per_line)]
+
+    rows = [text(rng.randrange(60, 200)) for _ in range(120)]
+    passage = text(18)
+    odd = {
+        "words": text(8000),
+        "word length": text(100, make=lambda w, k: w + w + w),
+        "symbols": text(100, make=lambda w, k: "#" + w[1:] if k % 3 == 0 else w),
+        "lines": [x for line in text(96, 8) for x in (line, "filler", "filler", "filler")],
+        "repeated words": [*text(50), " ".join(passage), *text(50), " ".join(passage), *text(50)],
+    }
+    rows = ["\n".join(x) for x in [*rows, *odd.values()]]
+    got = by_id(quality_rules.quality_rules(spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string")), "base_failed", "kept")
+    assert {name: got[120 + i] for i, name in enumerate(odd)} == {name: (False, False) for name in odd}
+    assert sum(got[i][1] for i in range(120)) >= 114
+
+
 def test_chi_square():
     assert quality_rules.chi_square_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
 
