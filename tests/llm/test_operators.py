@@ -237,6 +237,23 @@ def test_template_slots_go_and_copies_stay(spark):
     assert got[3] == "Text 3" and got[20] == got[21] == "" and got[31] == "Same\ncopy"
 
 
+def test_class_words_mark_but_do_not_cut(spark):
+    pages = [
+        "<div id='page' class='has-sidebar'><article><header class='entry-header'><h1>Title</h1></header><p>Text</p></article></div>",
+        "<div class='post-content with-sidebar'><p>Text</p><div class='ad'>buy</div></div>",
+        "<div class='sidebar'><article><p>Text</p></article></div>",
+        "<form id=f><article class='post'><p>One</p></article><article><p>Longer two</p></article></form><div class='related'><article><p>Other</p></article></div>",
+        "<div class='sidebar'><article><p>Teaser</p></article></div><article><p>Text</p></article>",
+    ]
+    got = [[t for _, t in html_extract.page_blocks(p, None)] for p in pages]
+    assert got == [["Title", "Text"], ["Text"], ["Text"], ["One", "Longer two"], ["Text"]]
+    # a marked slot inside the article: its varying text stays, its constant text goes
+    page = "<article><p>Text {0}</p><div class=notice><p>Note {0}</p></div><div class=widget><p>Same</p></div><div class=comments><p>Nice {0}</p></div></article><div class=sidebar><p>Side {0}</p></div>"
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(8)] + [(20, "http://b.example/", page.format(20))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Text 3\nNote 3" and got[20] == "Text 20"
+
+
 def test_license_scan(spark, nothing):
     mit = license_scan.TEMPLATES["mit"]
     cut = " ".join(mit.split()[8:])
