@@ -6,10 +6,10 @@ A run is a stretch of consecutive such lines with at least ``min_words`` words.
 1. Winnowing: from every line a window reaches forward, and one backward, until it holds
    ``min_words`` words. The least line hash of each window is a fingerprint (the last one, if
    equal), so that two copies of a run always share one.
-2. Join positions: fingerprints that occur once are dropped; the rest keep their places.
-3. Extend both ways: each place of a repeated fingerprint is extended to the windows it is the
-   minimum of, on either side, and a window matches where its whole sequence of lines occurs
-   earlier. Matched windows that overlap or touch make up the maximal repeated runs.
+2. Windows of fingerprints that occur once are dropped.
+3. In place of a join of positions and an extension, every other window carries a hash of its whole
+   sequence of lines, and matches where that occurs earlier. Matched windows that overlap or
+   touch make up the maximal repeated runs. The fingerprints only spare work here.
 4. Delete: every line of a repeated run that has an earlier occurrence goes, "earlier" by
    (doc_id, line). So the first occurrence stays, in whole.
 
