@@ -8,10 +8,10 @@
    entry, so an item has a few entries only.
 4. A second pass stores postings (word, text, position) of the entry words: the inverted index.
 5. The rarest word's postings, moved by the word's offset, give alignments of item and text; they
-   are intersected with the moved postings of the second word (within ``slop`` positions).
+   are intersected with the moved postings of the second word (with ``slop``, anywhere in the stretch).
 6. Each surviving alignment is compared word by word along its diagonal, which gives the exact
    phrase matches; with ``slop`` also the proximity matches: places where all words of a window
-   stand within ``size + slop`` words in any order.
+   stand, each as often as there, within ``size + slop`` words in any order (the least such stretches).
 
 A fixed-size bitmap of 2^22 bits (512 KB, whatever the input) keeps other words out of steps 2 and
 4; its false positives are removed by the joins. Nothing else is broadcast by hand or gathered.
@@ -141,14 +141,35 @@ def matches(text: np.ndarray, item: np.ndarray, diagonal: int, size: int, slop:
             if b - a >= need:
                 yield True, int(lo + diagonal + a), int(lo + diagonal + b)
     if slop:
+        reach = need + slop - 1
         for a in range(len(item) - need + 1):
-            words = np.sort(item[a : a + need])
-            lo = max(0, a + diagonal - slop)
-            span = text[lo : a + diagonal + need + slop]
-            if len(span) >= need and np.isin(words, span).all():
-                place = np.flatnonzero(np.isin(span, words))
-                if place[-1] - place[0] < need + slop:
-                    yield False, int(lo + place[0]), int(lo + place[-1] + 1)
+            # the rarest word stands at one of the window's places on this diagonal; the others within reach of it
+            lo = max(0, a + diagonal - reach)
+            for x, y in covering(text[lo : max(lo, a + diagonal + need + reach)], item[a : a + need], need + slop):
+                yield False, lo + x, lo + y
+
+
+def covering(span: np.ndarray, words: np.ndarray, longest: int):
+    """(start, stop) of the least stretches that hold the words, each as often as given, within `longest`."""
+    kinds, wanted = np.unique(words, return_counts=True)
+    place = np.flatnonzero(np.isin(span, kinds))
+    kind = np.searchsorted(kinds, span[place])
+    missing, short, first = wanted.copy(), len(kinds), 0
+    for last, k in enumerate(kind):
+        missing[k] -= 1
+        short -= missing[k] == 0
+        if short:
+            continue
+        while missing[kind[first]] < 0:
+            missing[kind[first]] += 1
+            first += 1
+        start, stop = int(place[first]), int(place[last]) + 1
+        if stop - start <= longest:
+            yield start, stop
+        # without its first word the stretch falls short, and the next one begins after it
+        missing[kind[first]] += 1
+        short += 1
+        first += 1
 
 
 def find_matches(docs: DataFrame, items: DataFrame, size: int = SIZE, slop: int = 0) -> DataFrame:
@@ -170,10 +191,12 @@ def find_matches(docs: DataFrame, items: DataFrame, size: int = SIZE, slop: int
     entry = ranked.groupBy("item_id", "part", "a").agg(*(F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}{r}") for r in (1, 2) for c in ("word", "at")))
     entry = work.keep(entry.select("item_id", "part", "word1", "at1", F.coalesce("word2", "word1").alias("word2"), F.coalesce("at2", "at1").alias("at2")).distinct(), "entries")
     index = work.keep(postings(docs, sc.broadcast(bitmap(entry.select(F.explode(F.array("word1", "word2")).alias("word"))))), "postings")
-    entered = entry.join(index.withColumnRenamed("word", "word1"), "word1").select("item_id", "part", "row", "doc_id", F.col("word2").alias("word"), (F.col("pos") - F.col("at1")).alias("diagonal"), "at2")
+    entered = entry.join(index.withColumnRenamed("word", "word1"), "word1").select("item_id", "part", "row", "doc_id", F.col("word2").alias("word"), (F.col("pos") - F.col("at1")).alias("diagonal"), "at1", "at2")
     entered = entered.withColumn("pos", F.col("diagonal") + F.col("at2"))
     if slop:
-        entered = entered.withColumn("pos", F.explode(F.sequence(F.col("pos") - slop, F.col("pos") + slop)))
+        # in any order: the second word stands anywhere within the stretch around the rarest, which is at diagonal + at1
+        reach = size + slop - 1
+        entered = entered.withColumn("pos", F.explode(F.sequence(F.col("diagonal") + F.col("at1") - reach, F.col("diagonal") + F.col("at1") + reach)))
     same = ["row", "word", "pos"]
     places = index.select(*same, F.col("doc_id").alias("doc2"))
     lines = entered.join(places, (F.col("doc_id").eqNullSafe(F.col("doc2"))) & (entered["row"] == places["row"]) & (entered["word"] == places["word"]) & (entered["pos"] == places["pos"]), "left_semi")

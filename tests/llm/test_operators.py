@@ -148,6 +148,24 @@ def test_decontaminate(spark, docs, texts, nothing):
     assert near.where("exact").count() and near.where("not exact").count()
 
 
+def test_proximity_in_any_order(spark):
+    rng = random.Random(11)
+    texts = [[rng.choice("abcdefg") + "x" for _ in range(60)] for _ in range(12)]
+    items = [[rng.choice("abcdefgh") + "x" for _ in range(n)] for n in (3, 4, 4, 5, 6)]
+    size, slop, wanted = 4, 2, set()
+    for i, w in enumerate(texts):
+        for k, v in enumerate(items):
+            n = min(size, len(v))
+            for a in range(len(v) - n + 1):
+                c = collections.Counter(v[a : a + n])
+                holds = lambda x, y, w=w, c=c: all(w[x:y].count(z) >= m for z, m in c.items())
+                wanted |= {(i, str(k), x, y) for x in range(len(w)) for y in range(x + n, min(len(w), x + n + slop) + 1) if holds(x, y) and not holds(x + 1, y) and not holds(x, y - 1)}
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(items)], "item_id long, text string")
+    got = decontaminate.find_matches(frame, bench, size, slop).where("not exact").collect()
+    assert wanted and {(r["doc_id"], r["item_id"], r["start"], r["stop"]) for r in got} == wanted
+
+
 def test_quality_rules(docs, texts, nothing):
     got = by_id(quality_rules.quality_rules(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     for i, t in enumerate(texts):
