@@ -6,13 +6,15 @@ word is carried as a 64-bit hash of its (lower-cased) UTF-8 bytes.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are tokenised at once; a longer document is a piece of its own.
@@ -29,11 +31,54 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def text_key() -> Column:
+    """A 64-bit hash of a row's text and doc_id. Joins on it also compare doc_id, so that two texts
+    are confused only if they share the doc_id and the hash."""
+    return F.xxhash64(F.col("text").cast("string"), F.col("doc_id").cast("long"))
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """doc (all columns as they are), doc_id, text and row: columns of docs can't clash with an operator's own."""
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("row"))
+
+
+def same_row(left: DataFrame, right: DataFrame) -> Column:
+    """The join of (doc_id, row) with (doc_id_, row_)."""
+    return (left["row"] == right["row_"]) & left["doc_id"].eqNullSafe(right["doc_id_"])
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with underscores after it as long as a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+_PATHS: set[str] = set()
+
+
+def _delete(path: str) -> None:
+    sc = SparkContext._active_spark_context
+    if sc is not None and sc._jsc is not None:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _delete_all() -> None:
+    while _PATHS:
+        _delete(_PATHS.pop())
+
+
+atexit.register(_delete_all)
+
+
 class Workspace:
     """A folder of its own under spark.checkpoint.dir, for tables that cut a plan's lineage.
 
     Tables are written as Parquet to storage that all executors share, so that a lost executor
-    loses none of them.
+    loses none of them. Results are read from them lazily, so a folder is deleted when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -43,16 +88,53 @@ class Workspace:
                 raise ValueError("spark.checkpoint.dir must name a shared folder")
             base = os.path.join(tempfile.gettempdir(), "checkpoints")
         self.spark, self.path = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _PATHS.add(self.path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _delete(f"{self.path}/{name}")
+
+
+#: Keys with over a thousandth of the rows are split: there are HOT of them at most, whatever the data.
+HOT, LEAST_SHARE = 1000, 4096
+
+
+def salted(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how) for an inner or left_semi join with a written left side: the left
+    rows of a hot key are dealt over several tasks, and the right rows with that key go to each.
+
+    Only the hot keys (at most HOT, by their share of the rows) are broadcast.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("hot_n"))
+    share = max(LEAST_SHARE, left.count() // HOT)
+    hot = counts.where(F.col("hot_n") > share).select(*keys, F.ceil(F.col("hot_n") / share).cast("int").alias("hot_n"))
+    found = hot.collect()
+    if not found:
+        return left.join(right, keys, how)
+    hot = left.sparkSession.createDataFrame(found, hot.schema)
+    many = F.coalesce("hot_n", F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64(*left.columns), many).cast("int")).drop("hot_n")
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("hot_n")
+    return dealt.join(copied, [*keys, "salt"], how).drop("salt")
+
+
+def numbered(df: DataFrame, order: list, work: Workspace, name: str) -> DataFrame:
+    """The rows with their number (from 0) in an order, without a task that sees them all."""
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    laid = work.keep(laid, name)
+    part, within = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r["part"], r["n"]) for r in laid.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    offsets, total = [], 0
+    for at, n in sizes:
+        offsets.append((at, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(offsets, "part long, before long")
+    return laid.join(F.broadcast(offsets), part == F.col("part")).withColumn("number", F.col("before") + within).drop("place", "part", "before")
 
 
 def maybe_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from nightloom.llm import decontaminate, html_extract, language_model, license_scan, line_dedup, mixing, near_dedup, quality_model, quality_rules, toxicity
@@ -217,7 +218,57 @@ def test_mixing(docs, texts, nothing):
     again = sorted((r["doc_id"] or -1, r["taken"]) for r in mixing.mixed(docs.repartition(5)).collect())
     assert again == sorted((r["doc_id"] or -1, r["taken"]) for r in rows)
     assert mixing.mixed(nothing).count() == 0
-    assert mixing.targets({"a": 10, "b": 1000, None: 1000}) == {"a": 20.0, "b": pytest.approx(2995 * 2 / 3 + 1.0, abs=5), None: pytest.approx(1000, abs=10)}
+
+
+def shares(sizes, weights=(5, 2, 1), total=1.5, cap=2):
+    """Targets by filling up: whoever is full stops, and the rest is dealt again."""
+    names = sorted(sizes)
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    full = set()
+    while True:
+        level = (total * sum(sizes.values()) - sum(cap * sizes[s] for s in full)) / sum(w[s] for s in names if s not in full)
+        more = {s for s in names if s not in full and w[s] * level > cap * sizes[s]}
+        if not more:
+            return {s: cap * sizes[s] if s in full else w[s] * level for s in names}
+        full |= more
+
+
+def test_mixing_solves_the_dual(spark):
+    """Rates of documents against a dense Newton solve in numpy; without the tilt the targets are missed."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        source = rng.choice("aaaabbcdddddd")
+        rows.append((i, " ".join(["w"] * int(rng.lognormvariate(4 if source in "ab" else 5, 1.2) + 1)), source))
+    got = {r["doc_id"]: r for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    n = np.array([len(t.split()) for _, t, _ in rows], float)
+    names = sorted({s for *_, s in rows})
+    src = np.array([names.index(s) for *_, s in rows])
+    sizes = {s: float(n[src == k].sum()) for k, s in enumerate(names)}
+    wanted = shares(sizes)
+    goal = np.array([wanted[s] for s in names])
+    assert all(got[i]["target"] == pytest.approx(goal[src[i]]) for i in got)
+    free = goal < 2 * np.array([sizes[s] for s in names]) - 1e-6
+    assert free.any() and not free.all()
+    band = np.minimum((np.log2(n) / 3 + 1e-9).astype(int), mixing.BANDS - 1)
+    u, k = 1 + np.log(n), len(names) + mixing.BANDS
+    x = np.zeros((len(n), k))
+    x[np.arange(len(n)), src] = x[np.arange(len(n)), len(names) + band] = 1
+    share = np.array([n[band == b].sum() for b in range(mixing.BANDS)]) / n.sum() * goal.sum()
+    soft = np.concatenate([np.zeros(len(names)), mixing.SOFT * np.maximum(share, 1)])
+    ask, at, on = np.concatenate([goal, share]), np.zeros(k), np.concatenate([free, np.ones(mixing.BANDS, bool)])
+    pinned = ~free[src]
+    for _ in range(400):
+        r = np.where(pinned, 2, np.minimum(2, np.exp(u * (x @ at))))
+        slope = x.T @ (n * r) - ask + soft * at
+        curve = (x * (n * u * r * (~pinned & (r < 2)))[:, None]).T @ x + np.diag(soft + 1e-6)
+        at[on] -= 0.5 * np.linalg.solve(curve[np.ix_(on, on)], slope[on])
+    assert max(abs(got[i]["rate"] - r[i]) for i in range(len(rows))) < 1e-6
+    # rates differ within a source, and a rate of 1 for all, without the method, misses the targets
+    assert max(np.ptp(r[src == k]) for k in np.flatnonzero(free)) > 0.05
+    taken = np.array([sum(got[i]["taken"] for i in np.flatnonzero(src == k)) for k in range(len(names))])
+    assert np.abs(taken - goal).max() <= n.max() / 2
+    assert np.abs(np.array([sizes[s] for s in names]) - goal).max() > 5 * n.max()
 
 
 def test_language_model(docs, texts, nothing):
