@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from nightloom.llm import decontaminate, html_extract, language_model, license_scan, line_dedup, mixing, near_dedup, quality_model, quality_rules, toxicity
+from nightloom.llm import common, decontaminate, html_extract, language_model, license_scan, line_dedup, mixing, near_dedup, quality_model, quality_rules, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -118,6 +118,45 @@ def test_line_dedup(docs, texts, nothing):
     assert line_dedup.line_dedup(nothing).count() == 0
 
 
+def removed_by_force(texts, least):
+    """Lines of every run of `least` words that an earlier place holds."""
+    lines = [[x.strip() for x in t.split("\n") if x.strip()] for t in texts]
+    seen, gone = set(), [set() for _ in texts]
+    for i, ls in enumerate(lines):
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                run = tuple(ls[a:b])
+                if sum(len(x.split()) for x in run) >= least:
+                    if run in seen:
+                        gone[i].update(range(a, b))
+                    seen.add(run)
+    return lines, gone
+
+
+def test_line_dedup_of_lines_in_many_contexts(spark, monkeypatch):
+    """A small stock of lines, so that selected hashes meet in unrelated places and runs go on differently."""
+    monkeypatch.setattr(common, "LEAST_SHARE", 16)
+    rng = random.Random(21)
+    stock = [" ".join(words(rng.randrange(1, 9), 500 + k)) for k in range(14)]
+    texts = ["\n".join(rng.choice(stock) for _ in range(rng.randrange(1, 14))) for _ in range(150)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = by_id(line_dedup.line_dedup(frame, 12), "text", "n_lines", "n_removed")
+    lines, gone = removed_by_force(texts, 12)
+    assert [got[i][2] for i in range(150)] == [len(g) for g in gone]
+    assert [got[i][0].split("\n") if len(gone[i]) < len(lines[i]) else [] for i in range(150)] == [[x for k, x in enumerate(ls) if k not in g] for ls, g in zip(lines, gone)]
+    # without extension, lines behind the last window of a run stay
+    monkeypatch.setattr(line_dedup, "agreeing", lambda *_: common.F.lit(0).cast("long"))
+    less = by_id(line_dedup.line_dedup(frame.where("doc_id < 40"), 12), "n_removed")
+    assert sum(x[0] for x in less.values()) <= sum(len(g) for g in removed_by_force(texts[:40], 12)[1])
+
+
+def test_line_dedup_extends_along_the_occurrence_that_goes_on_alike(spark):
+    a, b, c, d = (" ".join(words(20, 600 + k)) for k in range(4))
+    texts = [f"{a}\n{b}\n{c}", f"{a}\n{b}\n{c}\nx y\n{d[:30]}", f"start\n{a}\n{b}\n{c}\nx y\nother", f"{a}\n{b}\n{c}\nx z"]
+    got = by_id(line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "text")
+    assert [got[i][0] for i in range(4)] == [texts[0], f"x y\n{d[:30]}", "start\nother", "x z"]
+
+
 def test_decontaminate(spark, docs, texts, nothing):
     rng = random.Random(5)
     items = []
