@@ -12,7 +12,10 @@
    that its probabilities are calibrated with.
 
 Defined results: null and empty texts pool to zeros and are scored like any other. Conflicting
-labels of one doc_id: the lower counts. Without labels every score is 0.5.
+labels of one doc_id: the lower counts; labels of null doc_ids or without a document are left out. With
+under LEAST_LABELLED labelled rows, or labels of one kind only, every score is the share of label 1 among
+them, one row of each kind added; without labels that is 0.5. Very long texts are pooled whole; rows that
+repeat are scored alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, bounded_sample, crc_mod, documents, few_tasks, mix, table, tokens
 
-MAX_LABELLED, HIDDEN, EPOCHS, THRESHOLD = 20_000, 32, 60, 0.3
+MAX_LABELLED, LEAST_LABELLED, HIDDEN, EPOCHS, THRESHOLD = 20_000, 10, 32, 60, 0.3
 BUCKETS, DIM = 1 << 15, 32
 POOLED = 2 * DIM + 2
 
@@ -159,14 +162,14 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), POOLED).cast(pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
     frame = texts.join(picked, "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(features, "doc_id long, quality int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
-    model = None
-    if frame["quality"].nunique():
+    model, share = None, (float((frame["quality"] > 0).sum()) + 1) / (len(frame) + 2)
+    if len(frame) >= LEAST_LABELLED and frame["quality"].nunique() > 1:
         model = network(np.stack(frame["x"]).astype(np.float64), frame["quality"].to_numpy(np.float64))
 
     def run(batches):
         for batch in batches:
             x = pooled(batch.column(1), vectors.value)
-            p = probability(x, model) if model else np.full(len(x), 0.5)
+            p = probability(x, model) if model else np.full(len(x), share)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.asarray(p, np.float64))], ["doc_id", "score"])
 
     scored = texts.mapInArrow(run, "doc_id long, score double")

@@ -11,8 +11,11 @@ them, by the score of their difference, if at least PURITY of the texts they mar
 R+ and R- being mean logistic losses. The class prior is the share of toxic among the labelled rows
 that may be learned from. Scoring is one pass over whole texts with a weight table of fixed size.
 
-Defined results: null and empty texts get the model's constant. Labels of null or repeated doc_ids
-join as they are; conflicting labels count as toxic. Without a positive every score is 0.
+Defined results: null and empty texts get the model's constant. Labels of null doc_ids are left out,
+conflicting labels of one doc_id count as toxic. A label without a document teaches nothing; without a
+positive document every score is 0. The prior is kept between 1 / (n + 2) and (n + 1) / (n + 2) of n labels,
+so that a table of toxic labels only is learned from too. Very long texts count whole; rows that repeat
+are scored alike; an empty table gives an empty result. Of features with equal scores the lower number goes first.
 """
 
 from __future__ import annotations
@@ -77,7 +80,7 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, n: int) -> t
         z = b + np.bincount(of, w[flat], minlength=len(rows))
         p = sigmoid(z)
         loss_neg = np.logaddexp(0, z)
-        rest = loss_neg[~positive].mean() - prior * loss_neg[positive].mean()
+        rest = loss_neg[~positive].sum() / n_u - prior * loss_neg[positive].sum() / n_p
         up, down_u, down_p = np.where(positive, prior * (p - 1) / n_p, 0), np.where(positive, 0, p / n_u), np.where(positive, -prior * p / n_p, 0)
         # below zero, the unlabelled part is pushed up instead of down
         g = up + down_u + down_p if rest >= 0 else -(down_u + down_p)
@@ -88,31 +91,40 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, n: int) -> t
     return w, float(b)
 
 
+def constant(value: float) -> tuple[np.ndarray, float]:
+    return np.zeros(1 << BITS, np.float32), value
+
+
 def train(docs: DataFrame, labels: DataFrame, trainable) -> tuple[np.ndarray, float]:
     """A weight for every feature number (0 for those not chosen) and the constant."""
     spark: SparkSession = docs.sparkSession
     work = Workspace(spark, "toxic")
-    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(trainable(F.col("doc_id")))
-    share = marks.agg(F.avg("toxic").alias("p"), F.sum("toxic").alias("n")).first()
-    if not share["n"]:
-        return np.zeros(1 << BITS, np.float32), -40.0
-    usable = docs.select("doc_id", "text").where(trainable(F.col("doc_id")))
-    ids = usable.select("doc_id").where("doc_id is not null").distinct()
-    yes = bounded_sample(marks.where("toxic = 1").select("doc_id").join(ids, "doc_id", "left_semi"), MAX_POSITIVE).select("doc_id", F.lit(1).alias("is_p"))
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(trainable(F.col("doc_id"))).where("doc_id is not null")
+    ids = usable.select("doc_id").distinct()
+    marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(trainable(F.col("doc_id")))
+    marks = work.keep(marks.join(ids, "doc_id", "left_semi"), "marks")
+    found = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0)).alias("p")).first()
+    if not found["p"]:
+        return constant(-40.0)
+    prior = min(max(found["p"] / found["n"], 1 / (found["n"] + 2)), (found["n"] + 1) / (found["n"] + 2))
+    yes = bounded_sample(marks.where("toxic = 1").select("doc_id"), MAX_POSITIVE).select("doc_id", F.lit(1).alias("is_p"))
     any_ = bounded_sample(ids, MAX_UNLABELLED).select("doc_id", F.lit(0).alias("is_p"))
     picked = work.keep(yes.unionByName(any_), "picked")
-    rows = work.keep(feature_rows(usable.join(picked, "doc_id")), "rows")
+    # the sampled texts once, for both passes over them
+    sampled = work.keep(usable.join(F.broadcast(picked), "doc_id"), "sampled")
+    rows = work.keep(feature_rows(sampled), "rows")
     n = {r["is_p"]: r["n"] for r in rows.groupBy("is_p").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = n.get(1, 0), n.get(0, 0)
+    if not n_p:
+        return constant(-40.0)
     seen = rows.select("is_p", F.explode("features").alias("f")).groupBy("f").agg(F.sum("is_p").alias("p"), F.count("*").alias("all"))
     rate_p, rate_u = F.col("p") / n_p, (F.col("all") - F.col("p")) / max(1, n_u)
     pooled = F.col("all") / (n_p + n_u)
     gap = (rate_p - rate_u) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / max(1, n_u)) + 1e-12)
-    best = seen.where((F.col("p") >= 3) & (rate_p * float(share["p"]) >= PURITY * rate_u)).select("f", gap.alias("z")).where("z > 3").orderBy(F.desc("z"), "f").limit(FEATURES).collect()
+    best = seen.where((F.col("p") >= 3) & (rate_p * prior >= PURITY * rate_u)).select("f", gap.alias("z")).where("z > 3").orderBy(F.desc("z"), "f").limit(FEATURES).collect()
     chosen = np.array(sorted(r["f"] for r in best), np.int64)
-    sc = spark.sparkContext
-    frame = feature_rows(usable.join(picked, "doc_id"), sc.broadcast(chosen)).toPandas()
-    w, b = fit([np.asarray(x, np.int64) for x in frame["features"]], frame["is_p"].to_numpy() == 1, float(share["p"]), len(chosen))
+    frame = feature_rows(sampled, spark.sparkContext.broadcast(chosen)).toPandas()
+    w, b = fit([np.asarray(x, np.int64) for x in frame["features"]], frame["is_p"].to_numpy() == 1, prior, len(chosen))
     weights = np.zeros(1 << BITS, np.float32)
     weights[chosen] = w
     return weights, b

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -383,3 +384,52 @@ def test_learned_scores(spark, nothing):
     assert len(scores) == 241 and all(0 <= s[0] <= 1 for s in scores.values())
     assert toxicity.toxicity(nothing, labels.limit(0)).count() == 0
     assert quality_model.quality(nothing, labels.limit(0)).count() == 0
+
+
+def test_learned_scores_of_few_labels(spark):
+    docs = spark.createDataFrame([(i, prose(30, i)) for i in range(30)] + [(None, "x y")], "doc_id long, text string")
+    made = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int, quality int")
+    some = {"none": [], "one": [(2, 1, 1)], "null": [(None, 1, 1), (3, None, None)], "all toxic": [(i, 1, 1) for i in range(30)], "none here": [(500 + i, 1, 0) for i in range(9)], "clean": [(i, 0, 0) for i in range(30)]}
+    for name, rows in some.items():
+        for got in (toxicity.toxicity(docs, made(rows)).collect(), quality_model.quality(docs, made(rows)).collect()):
+            assert len(got) == 31 and all(0 <= r["score"] <= 1 for r in got), name
+    rows = some["all toxic"]
+    usable = [i for i in range(30) if zlib.crc32(str(i).encode()) % 5]
+    got = by_id(quality_model.quality(docs, made(rows)), "held_out", "score", "predicted")
+    assert all(got[i] == (i not in usable, pytest.approx((len(usable) + 1) / (len(usable) + 2)), 1) for i in range(30))
+    assert {r["predicted"] for r in toxicity.toxicity(docs, made(some["none here"])).collect()} == {0}
+
+
+def test_the_risk_is_corrected_by_the_class_prior():
+    """Unlabelled texts of which a third are positive: the corrected risk finds them, positive against unlabelled doesn't."""
+    rng = np.random.default_rng(1)
+    mark = np.concatenate([np.ones(200, bool), np.zeros(600, bool)])
+    truth = np.concatenate([np.ones(400, bool), np.zeros(400, bool)])
+    rows = [np.flatnonzero(rng.random(20) < np.where(np.arange(20) < 6, 0.7 if t else 0.05, 0.3)) for t in truth]
+
+    def scores(w, b):
+        return toxicity.sigmoid(np.array([w[r].sum() for r in rows]) + b)
+
+    p = scores(*toxicity.fit(rows, mark, 1 / 3, 20))
+    assert ((p >= 0.5) == truth)[200:].mean() > 0.92
+    flat, of = np.concatenate(rows), np.repeat(np.arange(800), [len(r) for r in rows])
+    w, b = np.zeros(20), 0.0
+    for _ in range(2000):
+        off = toxicity.sigmoid(b + np.bincount(of, w[flat], minlength=800)) - mark
+        w, b = w - 2 * np.bincount(flat, off[of], minlength=20) / 800, b - 2 * off.mean()
+    assert ((scores(w, b) >= 0.5) == truth)[200:].mean() < 0.85
+
+
+def test_held_out_quality_and_calibration(spark):
+    """Labels by vocabulary: held-out accuracy, and probabilities that agree with the labels' noise."""
+    rng = random.Random(4)
+    rows, marks = [], []
+    for i in range(600):
+        good = i % 2
+        rows.append((i, " ".join(f"{'fine' if good else 'poor'}{rng.randrange(40)}" if rng.random() < 0.5 else f"w{rng.randrange(200)}" for _ in range(40))))
+        marks.append((i, good if rng.random() < 0.9 else 1 - good))
+    got = by_id(quality_model.quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")), "held_out", "score")
+    held = [(s, i % 2) for i, (h, s) in got.items() if h]
+    assert sum((s >= 0.5) == bool(y) for s, y in held) >= 0.95 * len(held)
+    # 10 % of the labels are wrong, so calibrated probabilities stay well off 0 and 1
+    assert 0.75 < np.mean([s if y else 1 - s for s, y in held]) < 0.96
