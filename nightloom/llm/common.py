@@ -105,7 +105,7 @@ HOT, LEAST_SHARE = 1000, 4096
 
 
 def salted(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """left.join(right, keys, how) for an inner or left_semi join with a written left side: the left
+    """left.join(right, keys, how) for an inner, left or left_semi join with a written left side: the left
     rows of a hot key are dealt over several tasks, and the right rows with that key go to each.
 
     Only the hot keys (at most HOT, by their share of the rows) are broadcast.

@@ -331,6 +331,44 @@ def test_language_model(docs, texts, nothing):
     assert language_model.language_model(nothing, trainable).count() == 0
 
 
+def test_the_language_model_learns_from_context(spark, monkeypatch):
+    """Texts in two vocabularies: what stands before tells which; without weights the model knows shares only."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{int(rng.paretovariate(0.7))}" for _ in range(60))) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    trainable = lambda c: c % 5 != 0
+
+    def held_out():
+        got = language_model.language_model(frame, trainable).where("doc_id % 5 = 0").collect()
+        return sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got)
+
+    with_weights = held_out()
+    monkeypatch.setattr(language_model, "RATE", 0.0)
+    assert with_weights > held_out() + 0.15
+
+
+def test_softmax_steps_against_the_gradient():
+    """One step on a fresh table moves against the gradient of the loss, found by differences."""
+    rng = np.random.default_rng(0)
+    rows, wanted, bias = rng.integers(0, 6, (3, 8)), rng.integers(0, 4, 8), rng.normal(size=4)
+    table = language_model.Steps(np.zeros((6, 4)))
+    table.step(rows, wanted, bias)
+
+    def loss(w):
+        z = w[rows].sum(0) + bias
+        return (np.log(np.exp(z).sum(1)) - z[np.arange(8), wanted]).sum()
+
+    slope = np.zeros((6, 4))
+    for i in range(6):
+        for j in range(4):
+            up = np.zeros((6, 4))
+            up[i, j] = 1e-5
+            slope[i, j] = (loss(up) - loss(-up)) / 2e-5
+    g = slope / np.sqrt(np.maximum(1, np.bincount(rows.ravel(), minlength=6)))[:, None]
+    expected = -language_model.RATE * g / np.sqrt(language_model.CALM + (g * g).mean(1, keepdims=True))
+    assert np.allclose(table.w, expected, atol=1e-6)
+
+
 def test_html():
     page = """<html><head><title>x</title></head><body><header>Site</header><nav><a>m</a></nav><div id="cookie-notice">We</div>
     <article><h1>T &amp; t</h1><p>Para  one &eacute;<p>Two <b>bold</b><script>var t="</p>";</script><form>f</form><div class="ad">buy</div>
