@@ -6,24 +6,29 @@ Base: counts over the whole text (see ``base_counts``). A text fails with fewer
 if over 20 % of its words lie in five-word windows that the text holds twice or more.
 
 Outliers: five transformed statistics per text (``transformed``) that pass the base rules. For each
-(lang, source) a minimum-covariance-determinant estimate: start from the group's medians and
-median deviations, then concentration steps until no group's estimate moves (by ``STILL``), each
-taking the ``SUPPORT`` share of texts with the least Mahalanobis distance and re-estimating mean
-and covariance from them. The covariance is scaled to be consistent at the normal distribution.
+(lang, source) a minimum-covariance-determinant estimate over the ``SUPPORT`` share of texts. It is
+searched from three deterministic starts: the group's medians and median deviations without
+correlations; the same with the correlations of the statistics' hyperbolic tangents, which outliers
+hardly move; and the mean and covariance of all texts. Concentration steps take the texts with the least
+Mahalanobis distance and re-estimate mean and covariance from them, which never raises the
+determinant. After ``FIRST_STEPS`` steps the start with the least determinant stays, and goes on until no
+group's estimate moves (by ``STILL``). The covariance is scaled to be consistent at the normal distribution.
 Where a statistic hardly varies in the support (symbols, repeated lines and words are mostly 0) its
 variance is raised to ``LEAST_VARIANCE`` over the count it is measured on, at the support's geometric
 mean: for a share, the sampling variance of its angle. Any other variance stays as estimated. Texts
 whose squared distance exceeds the chi-square quantile ``QUANTILE`` are rejected.
 
-Groups of under ``LEAST`` texts are pooled by language, and languages that stay under it are
-pooled into one group; a pool under it rejects none.
+A covariance of five statistics needs ``LEAST`` texts, ten for each. Groups with fewer are pooled by
+language, and languages that stay under it are pooled into one group; a pool under it rejects none.
 
 Sums run over statistics rounded to 1/4096 as exact decimals and supports are cut at whole
 histogram bins, so the verdicts do not depend on the order of rows. A group is never gathered:
 every step is a pre-aggregated sum or histogram.
 
 Defined results: null text counts as empty and fails. Null lang or source is a group of its own.
-Repeated rows count as often as they occur.
+Repeated rows count as often as they occur; starts of equal determinant go in the order above. Very
+long texts are counted whole. An empty table gives an empty result. Rows are told apart by (doc_id,
+hash of the text); other columns, whatever their names, are kept by the stage.
 """
 
 from __future__ import annotations
@@ -33,12 +38,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, few_tasks, maybe_broadcast
+from .common import Workspace, documents, few_tasks, maybe_broadcast, same_row, text_key, whole_rows
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 SUPPORT, QUANTILE, LEAST = 0.75, 0.9999, 50
 #: Concentration ends when means move by under so many deviations and variances by under this share; MAX_STEPS guards against supports that alternate.
-STILL, MAX_STEPS = 0.01, 50
+STILL, MAX_STEPS, FIRST_STEPS = 0.01, 50, 2
 #: Least variances, times words, words, letters, lines and windows: log words, log word length, and three shares as angles.
 LEAST_VARIANCE = (0.25, 0.0025, 0.25, 0.25, 0.25)
 P = len(LEAST_VARIANCE)
@@ -155,7 +160,7 @@ def distance(mean: list[Column], inverse: list[list[Column]]) -> Column:
 
 
 def invert(df: DataFrame) -> DataFrame:
-    """From columns c_i_j (i <= j) to v_i_j: Cholesky factor, its inverse and the product, unrolled."""
+    """From columns c_i_j (i <= j) to v_i_j and logdet: Cholesky factor, its inverse and the product, unrolled."""
     at = lambda name, i, j: F.col(f"{name}_{max(i, j)}_{min(i, j)}")
     for j in range(P):
         square = F.col(f"c_{j}_{j}")
@@ -184,6 +189,7 @@ def invert(df: DataFrame) -> DataFrame:
             for k in range(j, P):
                 x = x + at("m", k, i) * at("m", k, j)
             out[f"v_{i}_{j}"] = x
+    out["logdet"] = sum((2 * F.log(at("l", i, i)) for i in range(1, P)), 2 * F.log(at("l", 0, 0)))
     return df.withColumns(out)
 
 
@@ -202,22 +208,40 @@ def share_cut(values: DataFrame, bin_: Column, share: float, name: str, *keys: s
 
 
 def starting(stats: DataFrame, work: Workspace) -> DataFrame:
-    """Medians and median absolute deviations (bins of 1/64) as a first mean and diagonal inverse."""
+    """The three starts of each group g, as groups g#0, g#1 and g#2."""
     single = stats.select("g", F.posexplode(F.array(*(F.col(f"x{i}") / UNIT for i in range(P + 1)))).alias("i", "x"))
     middle = share_cut(single, F.floor(F.col("x") * 64), 0.5, "b", "g", "i").select("g", "i", ((F.col("b") + 0.5) / 64).alias("mu"))
     middle = maybe_broadcast(work.keep(middle, "medians"))
     spread = share_cut(single.join(middle, ["g", "i"]), F.floor(F.abs(F.col("x") - F.col("mu")) * 64), 0.5, "b", "g", "i")
     both = middle.join(spread, ["g", "i"]).withColumn("s", 1.4826 * (F.col("b") + 0.5) / 64)
     pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
-    wide = both.groupBy("g").agg(*(pick("mu", i).alias(f"mu_{i}") for i in range(P + 1)), *(pick("s", i).alias(f"s{i}") for i in range(P)))
+    wide = both.groupBy("g").agg(*(pick("mu", i).alias(f"mu_{i}") for i in range(P + 1)), *(pick("s", i).alias(f"s_{i}") for i in range(P)))
     least = least_variances(F.col("mu_0"), F.col("mu_1"), F.col(f"mu_{P}"))
-    zero = {f"v_{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i + 1, P)}
-    own = {f"v_{i}_{i}": 1 / F.greatest(F.col(f"s{i}") * F.col(f"s{i}"), least[i]) for i in range(P)}
-    return wide.withColumns(own | zero)
+    wide = wide.withColumns({f"s_{i}": F.sqrt(F.greatest(F.col(f"s_{i}") * F.col(f"s_{i}"), least[i])) for i in range(P)})
+    wide = maybe_broadcast(work.keep(few_tasks(wide), "spreads"))
+    plain = {f"c_{i}_{j}": F.col(f"s_{i}") * F.col(f"s_{i}") if i == j else F.lit(0.0) for i in range(P) for j in range(i, P)}
+    # tangents as whole numbers, so that their sums are exact
+    bent = stats.join(wide, "g").select("g", *(F.round(F.tanh((F.col(f"x{i}") / UNIT - F.col(f"mu_{i}")) / F.col(f"s_{i}")) * UNIT).cast("long").alias(f"y{i}") for i in range(P)))
+    sums = bent.groupBy("g").agg(F.count("*").alias("n"), *(F.sum(f"y{i}").alias(f"t_{i}") for i in range(P)), *(F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"u_{i}_{j}") for i in range(P) for j in range(i, P)))
+    both = wide.join(sums, "g")
+    cov = lambda i, j: F.col(f"u_{i}_{j}") / F.col("n") - F.col(f"t_{i}") / F.col("n") * F.col(f"t_{j}") / F.col("n")
+    related = {f"c_{i}_{j}": F.col(f"s_{i}") * F.col(f"s_{j}") * (F.lit(1 + RIDGE) if i == j else F.coalesce(F.try_divide(cov(i, j), F.sqrt(F.greatest(cov(i, i) * cov(j, j), F.lit(1e-9)))), F.lit(0.0))) for i in range(P) for j in range(i, P)}
+    starts = [invert(wide.withColumns(plain)), invert(both.withColumns(related)), moments(stats, 1.0)]
+    named = [df.withColumn("g", F.concat("g", F.lit(f"#{k}"))).select(*estimate_columns()) for k, df in enumerate(starts)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def least_determinant(estimate: DataFrame) -> DataFrame:
+    """Of the starts of each group the one with the least determinant, under the group's own name."""
+    own = estimate.withColumn("of", F.expr("substring(g, 1, length(g) - 2)"))
+    rest = [c for c in estimate_columns() if c != "g"]
+    best = own.groupBy("of").agg(F.min(F.struct(F.round("logdet", 9).alias("key"), "g", *rest)).alias("e"))
+    return best.select(F.col("of").alias("g"), *(F.col(f"e.{c}").alias(c) for c in rest))
 
 
 def estimate_columns() -> list[str]:
-    return ["g", *(f"mu_{i}" for i in range(P)), *(f"v_{i}_{j}" for i in range(P) for j in range(i, P))]
+    """The group, its mean and inverse covariance, and the covariance's log determinant."""
+    return ["g", "logdet", *(f"mu_{i}" for i in range(P)), *(f"v_{i}_{j}" for i in range(P) for j in range(i, P))]
 
 
 def measured(stats: DataFrame, estimate: DataFrame, hint, how: str = "inner") -> DataFrame:
@@ -229,7 +253,11 @@ def concentrated(stats: DataFrame, estimate: DataFrame, hint) -> DataFrame:
     """One concentration step: mean and inverse covariance of the closest SUPPORT share."""
     near = measured(stats, estimate, hint).withColumn("bin", F.floor(F.log1p(F.least(F.col("d2"), F.lit(1e9))) * 256))
     cut = share_cut(near, F.col("bin"), SUPPORT, "cut", "g")
-    inside = near.join(hint(cut), "g").where("bin <= cut")
+    return moments(near.join(hint(cut), "g").where("bin <= cut"), consistency(SUPPORT, P))
+
+
+def moments(inside: DataFrame, scale: float) -> DataFrame:
+    """By group: the mean and the scaled covariance of the rows, inverted."""
     exact = lambda c: F.sum(c.cast("decimal(20,0)"))
     sums = [F.count("*").alias("n"), *(exact(F.col(f"x{i}")).alias(f"s_{i}") for i in range(P + 1)), *(exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q_{i}_{j}") for i in range(P) for j in range(i, P))]
     got = inside.groupBy("g").agg(*sums)
@@ -237,7 +265,6 @@ def concentrated(stats: DataFrame, estimate: DataFrame, hint) -> DataFrame:
     mean = {f"mu_{i}": F.col(f"s_{i}").cast("double") / n / UNIT for i in range(P + 1)}
     got = got.withColumns(mean)
     least = least_variances(F.col("mu_0"), F.col("mu_1"), F.col(f"mu_{P}"))
-    scale = consistency(SUPPORT, P)
     cov = {}
     for i in range(P):
         for j in range(i, P):
@@ -248,7 +275,7 @@ def concentrated(stats: DataFrame, estimate: DataFrame, hint) -> DataFrame:
 
 def moved(old: DataFrame, new: DataFrame) -> bool:
     """Whether any group's estimate moved by more than STILL."""
-    both = new.join(old.select("g", *(F.col(c).alias(f"old_{c}") for c in estimate_columns()[1:])), "g")
+    both = new.join(old.select("g", *(F.col(c).alias(f"old_{c}") for c in estimate_columns()[2:])), "g")
     means = [F.abs(F.col(f"mu_{i}") - F.col(f"old_mu_{i}")) * F.sqrt(F.col(f"v_{i}_{i}")) for i in range(P)]
     spreads = [F.abs(F.col(f"v_{i}_{i}") / F.col(f"old_v_{i}_{i}") - 1) for i in range(P)]
     return (both.agg(F.max(F.greatest(*means, *spreads)).alias("most")).first()["most"] or 0.0) > STILL
@@ -260,7 +287,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     and row, a hash that tells texts of one doc_id apart."""
     spark: SparkSession = docs.sparkSession
     work = Workspace(spark, "quality")
-    source = docs.select("doc_id", "text", *(F.col(c).cast("string").alias(c) for c in ("lang", "source")), F.xxhash64("text", "doc_id").alias("row"))
+    source = docs.select("doc_id", "text", *(F.col(c).cast("string").alias(c) for c in ("lang", "source")), text_key().alias("row"))
     counts = work.keep(base_counts(source, "lang", "source", "row"), "counts")
     fit = counts.where("not base_failed").select("lang", "source", *transformed())
     # groups: (lang, source), else the language's small sources, else all small languages
@@ -275,7 +302,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     # one row a group: whether that is broadcast is decided once for all steps
     few = groups.count() <= 100_000
     hint = lambda df: F.broadcast(df) if few else df
-    estimate = work.keep(few_tasks(starting(stats, work).select(*estimate_columns())), "step0")
+    estimate = work.keep(few_tasks(starting(stats, work)), "starts")
+    tried = stats.withColumn("g", F.explode(F.array(*(F.concat("g", F.lit(f"#{k}")) for k in range(3)))))
+    for step in range(FIRST_STEPS):
+        estimate = work.keep(few_tasks(concentrated(tried, estimate, hint)), f"first{step}")
+    estimate = work.keep(few_tasks(least_determinant(estimate)), "best")
     for step in range(MAX_STEPS):
         last, estimate = estimate, work.keep(few_tasks(concentrated(stats, estimate, hint)), f"step{step + 1}")
         if not moved(last, estimate):
@@ -294,8 +325,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go."""
-    good = quality_rules(docs).where("kept").select(F.col("row").alias("good_row")).distinct()
-    return docs.withColumn("row_of_text", F.xxhash64("text", "doc_id")).join(good, F.col("row_of_text") == F.col("good_row"), "left_semi").select(*docs.columns)
+    good = quality_rules(docs).where("kept").select(F.col("row").alias("row_"), F.col("doc_id").cast("long").alias("doc_id_")).distinct()
+    whole = whole_rows(docs)
+    return whole.join(good, same_row(whole, good), "left_semi").select("doc.*")
 
 
 QUERIES = {"op6_quality_rules": op6_quality_rules}

@@ -242,6 +242,49 @@ def test_each_statistic_of_the_quality_rules_rejects(spark):
     assert sum(got[i][1] for i in range(120)) >= 114
 
 
+def test_minimum_covariance_determinant(spark):
+    """Verdicts of one group against a search from many random starts in numpy, choosing by determinant."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        bad = i % 5 == 0
+        n, size = int(rng.lognormvariate(4.6, 0.4)), 9 if bad else rng.choice([4, 5, 5, 6])
+        w = ["".join(rng.choice("abcdefghijklmnop") for _ in range(max(1, size + rng.randrange(-2, 3)))) for _ in range(n)]
+        w = ["#" + x[1:] if rng.random() < (0.3 if bad else 0.02) else x for x in w]
+        rows.append((i, "\n".join(" ".join(w[k : k + 10]) for k in range(0, n, 10)), "en", "a"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counts = quality_rules.base_counts(frame).select("doc_id", *quality_rules.transformed()).orderBy("doc_id").toPandas()
+    x = counts[[f"x{i}" for i in range(6)]].to_numpy() / 4096
+    p, h = 5, 300
+
+    def estimate(rows_, scale):
+        mean = rows_.mean(0)
+        logs = [mean[0], mean[0], mean[0] + mean[1], mean[5], max(0, mean[0] - np.log(5))]
+        cov = np.cov(rows_[:, :p].T, bias=True) * scale
+        floor = np.array(quality_rules.LEAST_VARIANCE) * np.exp(-np.array(logs))
+        np.fill_diagonal(cov, np.maximum(np.diag(cov), floor) * (1 + quality_rules.RIDGE))
+        return mean[:p], cov
+
+    best = None
+    draw = np.random.default_rng(6)
+    for _ in range(100):
+        mean, cov = estimate(x[draw.choice(len(x), 12, replace=False)], 1)
+        for _ in range(40):
+            d2 = np.einsum("ij,jk,ik->i", x[:, :p] - mean, np.linalg.inv(cov), x[:, :p] - mean)
+            mean, cov = estimate(x[np.argsort(d2, kind="stable")[:h]], quality_rules.consistency(0.75, p))
+        if best is None or np.linalg.slogdet(cov)[1] < best[0]:
+            best = np.linalg.slogdet(cov)[1], d2
+    wanted = best[1] <= quality_rules.chi_square_quantile(quality_rules.QUANTILE, p)
+    got = by_id(quality_rules.quality_rules(frame), "kept")
+    kept = np.array([got[i][0] for i in range(400)])
+    assert (kept == wanted).mean() >= 0.98
+    # without robust starts and concentration, a fifth of outliers hides itself
+    mean, cov = estimate(x, 1)
+    plain = np.einsum("ij,jk,ik->i", x[:, :p] - mean, np.linalg.inv(cov), x[:, :p] - mean) <= quality_rules.chi_square_quantile(quality_rules.QUANTILE, p)
+    bad = np.arange(400) % 5 == 0
+    assert (~kept[bad]).mean() > 0.9 and kept[~bad].mean() > 0.97 and (~plain[bad]).mean() < 0.5
+
+
 def test_chi_square():
     assert quality_rules.chi_square_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
 
