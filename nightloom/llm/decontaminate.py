@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, table, tokens
+from .common import Workspace, documents, same_row, table, text_key, tokens, whole_rows
 
 SIZE = 13
 FILTER_BITS = 22
@@ -67,7 +67,7 @@ def in_filter(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("text", "doc_id").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(text_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def word_counts(docs: DataFrame, packed) -> DataFrame:
@@ -223,7 +223,7 @@ def digest(frames):
         yield made.astype({"doc_id": "Int64"})
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, extra: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
     hits = find_matches(docs, items, size).where("exact")
     hits = hits.groupBy("row", "doc_id").agg(F.collect_list(F.struct("item_id", "start", "stop")).alias("hits"))
@@ -244,9 +244,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go."""
-    bad = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("row").alias("bad_row"), F.col("doc_id").alias("bad_doc")).distinct()
-    marked = docs.withColumn("row_of_text", F.xxhash64("text", "doc_id"))
-    return marked.join(bad, (F.col("row_of_text") == F.col("bad_row")) & F.col("doc_id").eqNullSafe(F.col("bad_doc")), "left_anti").select(*docs.columns)
+    bad = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("row").alias("row_"), F.col("doc_id").alias("doc_id_")).distinct()
+    whole = whole_rows(docs)
+    return whole.join(bad, same_row(whole, bad), "left_anti").select("doc.*")
 
 
 ORACLE = r"""

@@ -5,17 +5,21 @@
 2. Texts with the same set form one class, whose node is its smallest doc_id; only nodes go on.
 3. Nodes that share a band meet in a bucket. First, each node is held against one pivot, the
    most connected node of its buckets, so that a group of copies needs one pair per member.
-4. Buckets that still hold nodes of several components are compared by the signatures' bytes, whole,
-   in blocks of bounded size that tasks share. Agreeing pairs are confirmed within the block, and only
-   links that join what the block has not joined yet leave it. There is no cap on buckets or pairs.
+4. Buckets that still hold nodes of several components are compared whole, in blocks of bounded size
+   that tasks share: first by the signatures' bytes alone, which leaves the nodes with an agreeing
+   partner; only these nodes' sets are sent to their blocks. Agreeing pairs are confirmed within the
+   block, and only links that join what the block has not joined yet leave it. There is no cap on
+   buckets or pairs.
 5. Every link is confirmed on full sets (100 * intersection >= 100 s * union).
 6. Components: alternating large-star and small-star rounds on the links until nothing changes.
 
-At the threshold s = 0.8, 40 bands of 6 rows miss a link with probability (1 - 0.8^6)^40 < 6e-6.
+At the threshold s = 0.8, 30 bands of 5 rows miss a link with probability (1 - 0.8^5)^30 < 7e-6.
 
 Defined results: null or word-less text has an empty set, links with nothing and is kept. Rows
-that share a doc_id are one node. A row without doc_id takes part in its class but is no node; if
-its class has no other row its component is null and it is kept.
+that share a doc_id share a component's name. A row without doc_id takes part in its class but is no
+node; if its class has no other row its component is null and it is kept. Very long texts are compared
+whole. An empty table gives an empty result. The stage keeps all columns, whatever their names, and of
+rows equal in doc_id and text one.
 """
 
 from __future__ import annotations
@@ -26,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, chain, documents, mix, tokens
+from .common import Workspace, chain, documents, mix, salted, same_row, text_key, tokens, whole_rows
 
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 30, 5
 #: Signature bytes may disagree so much below the threshold before a pair is dropped unseen:
-#: 240 bytes, standard deviation 0.026 at 0.8.
-SLACK = 0.11
+#: 150 bytes, standard deviation 0.033 at 0.8.
+SLACK = 0.15
 #: A block holds about so many nodes and shingles at most.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
@@ -74,7 +78,7 @@ def set_hash(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, the set's hash, band keys and signature bytes of every row."""
+    """doc_id, row, n_shingles, the set's hash, band keys and signature bytes of every row."""
 
     def run(batches):
         a, b = coefficients(bands * rows)
@@ -97,11 +101,11 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             offs = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "h1", "h2", "keys", "sig"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.array(sig, pa.binary())],
+                ["doc_id", "row", "n_shingles", "h1", "h2", "keys", "sig"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -125,10 +129,10 @@ def full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets overlap by the threshold."""
+    """The pairs (a, b) whose full sets overlap by the threshold; a may be hot, b is not."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = full_sets(docs, nodes.join(ends, "node", "left_semi"), words)
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    both = salted(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), ["a"]).join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     return both.select("a", "b", shared.alias("i"), (F.size("set_a") + F.size("set_b")).cast("long").alias("t")).where(100 * F.col("i") >= threshold * (F.col("t") - F.col("i"))).select("a", "b")
 
@@ -151,34 +155,80 @@ def alike(need: int):
     return run
 
 
-def linked(threshold: int, need: int, bands: int):
-    """A function for mapInPandas over rows sorted by (bucket, i, j): links across the groups of a
-    bucket, or of two of its blocks.
+def by_blocks(work_on, schema: list[str]):
+    """A function for mapInPandas over rows sorted by (bucket, i, j): work_on(the rows of each)."""
+
+    def run(frames):
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            key = frame[["bucket", "i", "j"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
+            found = []
+            for s, e in zip(cuts, cuts[1:]):
+                found.extend(work_on(frame.iloc[s:e]))
+            rest = frame.iloc[cuts[-1] :]
+            yield pd.DataFrame(found, columns=schema, dtype="int64")
+        if rest is not None and len(rest):
+            yield pd.DataFrame(work_on(rest), columns=schema, dtype="int64")
+
+    return run
 
-    Pairs whose signatures agree are confirmed on their full sets here, in the first band that they
-    share, unless the block's links so far already join them. So at most one link for each row leaves
-    a block, however many of its pairs are alike, and the components are those of all links."""
 
-    def links_of(rows: pd.DataFrame):
-        node, side = rows["node"].to_numpy(), rows["blk"].to_numpy()
-        sets = [np.asarray(s, np.int64).view(np.uint64) for s in rows["set"]]
-        size = np.array([len(s) for s in sets])
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+class Block:
+    """The rows of a bucket, or of two of its blocks, and which of their pairs may be links."""
+
+    def __init__(self, rows: pd.DataFrame, need: int, bands: int):
         keys = np.concatenate(rows["keys"].to_numpy()).reshape(len(rows), bands)
-        band = int(np.flatnonzero(keys[0] == rows["bucket"].iloc[0])[0])
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        left = np.flatnonzero(side == i)
-        right = np.flatnonzero(side == j) if i != j else left
-        # the group of each row as far as the links found here go
-        group = np.unique(rows["grp"].to_numpy(), return_inverse=True)[1]
+        own = (keys == rows["bucket"].iloc[0]).any(1)
+        rows, self.keys = rows[own], keys[own]
+        self.rows, self.need = rows, need
+        self.node, side = rows["node"].to_numpy(), rows["blk"].to_numpy()
+        self.sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+        self.size = rows["n_shingles"].to_numpy()
+        self.band = int(np.flatnonzero(self.keys[0] == rows["bucket"].iloc[0])[0]) if len(rows) else 0
+        self.group = np.unique(rows["grp"].to_numpy(), return_inverse=True)[1]
+        self.same = len(rows) and rows["i"].iloc[0] == rows["j"].iloc[0]
+        self.left = np.flatnonzero(side == rows["i"].iloc[0]) if len(rows) else np.zeros(0, np.int64)
+        self.right = self.left if self.same else np.flatnonzero(side == rows["j"].iloc[0]) if len(rows) else self.left
+
+    def partners(self, x: int, threshold: int) -> np.ndarray:
+        """Rows of other groups that agree with row x, in the first band that they share."""
+        y = self.right[self.group[self.right] != self.group[x]]
+        if self.same:
+            y = y[y > x]
+        y = y[100 * np.minimum(self.size[y], self.size[x]) >= threshold * np.maximum(self.size[y], self.size[x])]
+        y = y[(self.sig[y] == self.sig[x]).sum(1) >= self.need]
+        return y[(self.keys[y] == self.keys[x]).argmax(1) == self.band]
+
+
+def agreeing(threshold: int, need: int, bands: int):
+    """For by_blocks: the rows with a partner."""
+
+    def rows_of(rows: pd.DataFrame):
+        block, found = Block(rows, need, bands), set()
+        for x in block.left:
+            y = block.partners(x, threshold)
+            if len(y):
+                found.add(int(x))
+                found.update(y.tolist())
+        return list(block.rows.iloc[sorted(found)][["bucket", "i", "j", "node", "grp", "blk"]].itertuples(index=False, name=None))
+
+    return by_blocks(rows_of, ["bucket", "i", "j", "node", "grp", "blk"])
+
+
+def linked(threshold: int, need: int, bands: int):
+    """For by_blocks: links across groups, confirmed on full sets, unless the block's links so far
+    already join the pair. So at most one link for each row leaves a block, however many of its pairs
+    are alike, and the components are those of all links."""
+
+    def links_of(rows: pd.DataFrame):
+        block = Block(rows, need, bands)
+        size, group, node = block.size, block.group, block.node
+        sets = [np.asarray(s, np.int64).view(np.uint64) for s in block.rows["set"]]
         found = []
-        for x in left:
-            others = right[group[right] != group[x]]
-            if i == j:
-                others = others[others > x]
-            others = others[100 * np.minimum(size[others], size[x]) >= threshold * np.maximum(size[others], size[x])]
-            others = others[(sig[others] == sig[x]).sum(1) >= need]
-            others = others[(keys[others] == keys[x]).argmax(1) == band]
+        for x in block.left:
+            others = block.partners(x, threshold)
             if not len(others):
                 continue
             flat = np.concatenate([sets[y] for y in others])
@@ -190,22 +240,7 @@ def linked(threshold: int, need: int, bands: int):
                     found.append((min(node[x], node[y]), max(node[x], node[y])))
         return found
 
-    def run(frames):
-        rest = None
-        for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            key = frame[["bucket", "i", "j"]].to_numpy()
-            edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            cuts = [0, *edge.tolist()]
-            found = []
-            for s, e in zip(cuts, cuts[1:]):
-                found.extend(links_of(frame.iloc[s:e]))
-            rest = frame.iloc[cuts[-1] :]
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        if rest is not None and len(rest):
-            yield pd.DataFrame(links_of(rest), columns=["a", "b"], dtype="int64")
-
-    return run
+    return by_blocks(links_of, ["a", "b"])
 
 
 def across(met: DataFrame, group: DataFrame, sig: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: int, need: int, bands: int, work: Workspace) -> DataFrame:
@@ -215,10 +250,11 @@ def across(met: DataFrame, group: DataFrame, sig: DataFrame, docs: DataFrame, no
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     laid = grouped.join(split, "bucket").select("bucket", "node", "grp", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("blk"))
     laid = laid.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("bucket", "node", "grp", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-    laid = work.keep(laid, "laid")
-    wanted = nodes.join(laid.select("node").distinct(), "node", "left_semi")
-    sets = full_sets(docs, wanted, words).join(sig, "node")
-    placed = laid.join(sets, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    placed = laid.join(sig, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    alive = work.keep(placed.mapInPandas(agreeing(threshold, need, bands), "bucket long, i long, j long, node long, grp long, blk long"), "alive")
+    wanted = nodes.join(alive.select("node").distinct(), "node", "left_semi")
+    sets = work.keep(full_sets(docs, wanted, words), "sets")
+    placed = alive.join(sig, "node").join(sets, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return placed.mapInPandas(linked(threshold, need, bands), "a long, b long")
 
 
@@ -251,7 +287,7 @@ def components(links: DataFrame, work: Workspace, name: str = "", limit: int = 6
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, and row, a hash of its text.
 
     ``threshold`` is the least Jaccard similarity in per cent.
     """
@@ -268,37 +304,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
     # the most connected node of each bucket is its pivot; each node tries the best one it meets
     ties = met.groupBy("node").agg(F.sum("n").alias("ties"))
     ranked = met.join(ties, "node")
-    pivot = ranked.groupBy("bucket").agg(F.max("ties").alias("top")).join(ranked, "bucket").where("ties = top").groupBy("bucket", "top").agg(F.min("node").alias("a"))
+    pivot = ranked.groupBy("bucket").agg(F.min(F.struct((-F.col("ties")).alias("rank"), "node")).alias("p")).select("bucket", F.col("p.node").alias("a"), (-F.col("p.rank")).alias("top"))
     tried = met.join(pivot, "bucket").where("a <> node")
-    best = tried.groupBy("node").agg(F.max("top").alias("top")).join(tried, ["node", "top"]).groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
-    sig = own.select("node", "sig", "keys").dropDuplicates(["node"])
+    best = tried.groupBy(F.col("node").alias("b")).agg(F.min(F.struct((-F.col("top")).alias("rank"), "a")).alias("p")).select("b", F.col("p.a").alias("a"))
+    best = work.keep(best, "tries")
+    sig = work.keep(own.select("node", "n_shingles", "sig", "keys").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "signatures")
     need = bytes_needed(threshold / 100 - SLACK, bands * rows)
     end = lambda c: sig.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-    pairs = work.keep(best.join(end("b"), "b").join(end("a"), "a").select("a", "b", "sig_a", "sig_b").mapInPandas(alike(need), "a long, b long"), "tried")
+    pairs = work.keep(salted(best, end("a"), ["a"]).join(end("b"), "b").select("a", "b", "sig_a", "sig_b").mapInPandas(alike(need), "a long, b long"), "tried")
     links = work.keep(confirmed(pairs, docs, nodes, words, threshold), "star")
     root = components(links, work, "star")
     # then whatever is still apart
     more = across(met, root.withColumnRenamed("root", "grp"), sig, docs, nodes, words, threshold, need, bands, work)
     links = links.unionByName(work.keep(more, "more_links"))
+    work.drop("met", "alive", "sets", "signatures", "tries", "tried")
     root = components(links, work, "all")
     named = classes.join(root, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named.withColumn("some", F.lit(True)), ["h1", "h2"], "left")
+    out = signed.select("doc_id", "row", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "row")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), words=2, threshold=80)
+    return near_duplicates(documents(spark, sf_dir), words=2, threshold=80).drop("row")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group, the document with the smallest doc_id stays (shingles of five words).
 
-    Repeated rows of one doc_id stay as one row.
+    Rows equal in doc_id and text stay as one row.
     """
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    stay = docs.join(kept.where("doc_id is not null").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("doc_id_"), F.col("row").alias("row_")).distinct()
+    whole = whole_rows(docs)
+    return whole.join(kept, same_row(whole, kept), "left_semi").dropDuplicates(["doc_id", "row"]).select("doc.*")
 
 
 ORACLE = r"""
