@@ -444,6 +444,64 @@ def test_class_words_mark_but_do_not_cut(spark):
     assert got[3] == "Text 3\nNote 3" and got[20] == "Text 20"
 
 
+def test_html_that_is_never_closed():
+    """Depth, open tags and quotes cost time in proportion to the page, and lose no text."""
+    import time
+
+    deep = "".join(f"<div>t{i} " for i in range(3000)) + "</div>" * 3000 + "<p>end</p>"
+    start = time.time()
+    text = " ".join(t for _, t in html_extract.page_blocks(deep, None))
+    assert text.split() == [*(f"t{i}" for i in range(3000)), "end"]
+    for page in ("<a " * 20000, "<a href='" * 20000, "<p " + "<a \"'" * 20000, "<b>" * 20000 + "x</i>" * 20000, "<!" * 20000, "<div><p>a</div>" * 5000):
+        html_extract.page_blocks(page, html_extract.skeleton(html_extract.parse("<div><p>a</div>")))
+    assert time.time() - start < 20
+    assert [t for _, t in html_extract.page_blocks("<p title='a > b'>x</p><p title='y>z</p>1 < 2 <3", None)] == ["x", "z", "1 < 2 <3"]
+
+
+def test_tree_matching_against_all_alignments():
+    """The greatest number of matched nodes, over all ordered pairings of children."""
+    rng = random.Random(9)
+
+    def tree(depth):
+        return [rng.choice(["div", "ul"]), [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []]
+
+    def node(t):
+        out = html_extract.Node(t[0])
+        out.children = [node(c) for c in t[1]]
+        return out
+
+    def best(a, b):
+        if not a or not b:
+            return 0
+        together = 1 + best(a[0][1], b[0][1]) + best(a[1:], b[1:]) if a[0][0] == b[0][0] else 0
+        return max(together, best(a[1:], b), best(a, b[1:]))
+
+    for _ in range(60):
+        a, b = tree(3), tree(3)
+        b[0] = a[0]
+        assert html_extract.match(node(a), b) == best([a], [b])
+    # a chain of lists that differ at every level: each pair is matched once
+    left, right = ["div", []], ["div", []]
+    for _ in range(60):
+        left, right = ["div", [["ul", []], left, ["ul", []]]], ["div", [["div", []], right, ["div", []]]]
+    assert html_extract.match(node(left), right) == 61
+
+
+def test_wrappers_without_telling_names(spark):
+    """Same-host pages without any telling tag or class: alignment alone separates template from text."""
+    page = "<div><div>Home | About | Contact</div>{2}<div><div>{0}</div><div>Posted in News</div><div>{1}</div></div><div>All rights reserved</div></div>"
+    rows = [(i, f"http://a.example/{i}", page.format(f"Title {i}", f"Body of text {i}", "<div>Breaking: x</div>" if i % 3 == 0 else "")) for i in range(12)]
+    rows += [(100 + i, f"http://few.example/{i}", page.format(f"Few {i}", f"Small {i}", "")) for i in range(2)]
+    rows += [(200 + i, f"http://near.example/{i}", f"<div>Menu</div><article><p>Same paragraph</p><p>Own {i}</p></article>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in (1, 2)] == ["Title 1\nBody of text 1", "Title 2\nBody of text 2"]
+    assert got[100] == "Few 0\nSmall 0" and got[201] == "Same paragraph\nOwn 1"
+    # the same pages without other pages of their host keep the template
+    alone = [t for _, t in html_extract.page_blocks(rows[1][2], None)]
+    assert "Home | About | Contact" in alone and "All rights reserved" in alone
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_license_scan(spark, nothing):
     mit = license_scan.TEMPLATES["mit"]
     cut = " ".join(mit.split()[8:])
