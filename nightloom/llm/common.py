@@ -158,10 +158,16 @@ def bounded_sample(rows: DataFrame, n: int, *keep: str) -> DataFrame:
 
 
 def few_tasks(df: DataFrame) -> DataFrame:
-    """At most four tasks per core, without a shuffle: for passes whose every task returns a table."""
+    """At most four tasks per core, without a shuffle: for small tables."""
     return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def sized_tasks(df: DataFrame, size: int, each: int) -> DataFrame:
+    """Tasks of about `each` of `size` units, without a shuffle, and one for every core at least: for
+    passes whose every task returns a table of fixed size. A task's work doesn't grow with the input."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // each)))
+
+
 # ---------------------------------------------------------------------------- vectorised tokens
 
 

@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_sample, crc_mod, documents, few_tasks, mix, table, tokens
+from .common import Workspace, bounded_sample, crc_mod, documents, mix, sized_tasks, table, tokens
 
 MAX_LABELLED, LEAST_LABELLED, HIDDEN, EPOCHS, THRESHOLD = 20_000, 10, 32, 60, 0.3
-BUCKETS, DIM = 1 << 15, 32
+BUCKETS, DIM, TASK_BYTES = 1 << 15, 32, 32 << 20
 POOLED = 2 * DIM + 2
 
 
@@ -71,7 +71,9 @@ def index_vectors(docs: DataFrame) -> np.ndarray:
             part = used[i : i + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.ascontiguousarray(grid[part, k])) for k in range(DIM)), pa.array(count[part])], ["row", *names])
 
-    parts = few_tasks(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(run, "row long, " + ", ".join(f"{n} long" for n in names))
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = sized_tasks(texts, size, TASK_BYTES).mapInArrow(run, "row long, " + ", ".join(f"{n} long" for n in names))
     summed = parts.groupBy("row").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
     out = np.zeros((BUCKETS, DIM + 1))
     out[summed["row"].to_numpy()] = summed[names].to_numpy()
