@@ -383,12 +383,12 @@ def join_nearest(spark, d):
 @query("agg_photometry", f"WITH {DETECT},{LIGHT} SELECT star_id, round(r, 6) + 0e0 AS r, round(g, 6) + 0e0 AS g, round(b, 6) + 0e0 AS b FROM light")
 def agg_photometry(spark, d):
     px = sky_frame(spark, d)
-    return sky.photometry(px, neighbourhood.peaks(stats.luma_values(px), top=200), SKY_H, SKY_W)
+    return sky.photometry(px, neighbourhood.peaks(stats.luma_values(px), top=200), SKY_H, SKY_W).drop("frame_id")
 
 
 @query("flagship_calibration", f"WITH {DETECT},{CATALOG},{WORLD},{LIGHT},{FIT} SELECT n, round(gr, 6) AS gr, round(gg, 6) AS gg, round(gb, 6) AS gb FROM gains")
 def flagship_calibration(spark, d):
-    return sky.calibrate(sky_frame(spark, d), star_catalog(spark, d), SKY_PROJECTION, SKY_H, SKY_W)
+    return sky.calibrate(sky_frame(spark, d), star_catalog(spark, d), SKY_PROJECTION, SKY_H, SKY_W).drop("frame_id")
 
 
 APPLY = """
@@ -463,8 +463,11 @@ def num_classify(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalog_images  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)

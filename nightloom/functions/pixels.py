@@ -18,12 +18,19 @@ def each(px: DataFrame, body) -> DataFrame:
     return px.withColumns({c: body(F.col(c), c) for c in CHANNELS})
 
 
+def both(v: Column, other: Column, body: Column) -> Column:
+    """`body` where both frames have the pixel; the query fails where only one has it."""
+    return F.when(v.isNull() | other.isNull(), F.raise_error(F.lit("the frames differ in shape")).cast("double")).otherwise(body)
+
+
 def dark_subtract(px: DataFrame, dark: DataFrame | None, scale: float = 1.0) -> DataFrame:
-    """Pixels less a dark frame (y, x, r, g, b), clipped; no dark frame changes nothing."""
+    """Pixels less a dark frame (y, x, r, g, b), clipped; no dark frame changes nothing. Shapes must agree."""
     if dark is None:
         return px
     d = dark.select("y", "x", *(F.col(c).alias(f"d_{c}") for c in CHANNELS))
-    return each(px.join(d, ["y", "x"]), lambda v, c: clip(v - scale * F.col(f"d_{c}"))).drop(*(f"d_{c}" for c in CHANNELS))
+    frames = px.select("frame_id").distinct().join(d)
+    met = px.join(frames, ["frame_id", "y", "x"], "full")
+    return each(met, lambda v, c: both(v, F.col(f"d_{c}"), clip(v - scale * F.col(f"d_{c}")))).select(*px.columns)
 
 
 def colour_matrix(px: DataFrame, matrix=PRESET_MATRIX) -> DataFrame:
@@ -98,9 +105,10 @@ def curves(px: DataFrame, contrast: float = 0.6, saturation: float = 1.2, preser
 
 
 def screen_blend(a: DataFrame, b: DataFrame) -> DataFrame:
-    """1 - (1 - a)(1 - b) of two frames with the same pixels."""
+    """1 - (1 - a)(1 - b) of two frames; their shapes must agree."""
     other = b.select("frame_id", "y", "x", *(F.col(c).alias(f"o_{c}") for c in CHANNELS))
-    return each(a.join(other, ["frame_id", "y", "x"]), lambda v, c: 1 - (1 - clip(v)) * (1 - clip(F.col(f"o_{c}")))).drop(*(f"o_{c}" for c in CHANNELS))
+    met = a.join(other, ["frame_id", "y", "x"], "full")
+    return each(met, lambda v, c: both(v, F.col(f"o_{c}"), 1 - (1 - clip(v)) * (1 - clip(F.col(f"o_{c}"))))).select(*a.columns)
 
 
 def crop(px: DataFrame, h: int, w: int, top: int = 0, left: int = 0, bottom: int | None = None, right: int | None = None) -> DataFrame:

@@ -17,13 +17,16 @@ def median_mad(values: DataFrame, column: str = "v", floor: float = 0.0) -> Data
 
 
 def sigma_clip(values: DataFrame, sigma: float = 2.5, rounds: int = 5, column: str = "v") -> DataFrame:
-    """frame_id, med, n: of the values within sigma deviations, re-tested on all values each round."""
-    kept = values
+    """frame_id, med, n: of the values within sigma deviations, re-tested on all values each round.
+
+    Where the kept values do not deviate at all, or none would be left, the frame's last choice stays."""
+    now = values.select("frame_id", F.col(column).alias("v")).withColumn("keep", F.lit(True))
     for _ in range(rounds):
-        marks = median_mad(kept, column).withColumnsRenamed({"med": "m0", "sigma": "s0"})
-        inside = (F.col("s0") == 0) | (F.abs(F.col(column) - F.col("m0")) <= sigma * F.col("s0"))
-        kept = values.join(marks, "frame_id").where(inside).select(*values.columns)
-    return kept.groupBy("frame_id").agg(F.median(column).alias("med"), F.count("*").alias("n"))
+        marks = median_mad(now.where("keep")).withColumnsRenamed({"med": "m0", "sigma": "s0"})
+        met = now.join(marks, "frame_id").withColumn("near", F.abs(F.col("v") - F.col("m0")) <= sigma * F.col("s0"))
+        stays = F.col("s0") == 0
+        now = met.select("frame_id", "v", F.when(stays, F.col("keep")).otherwise(F.col("near")).alias("keep"))
+    return now.where("keep").groupBy("frame_id").agg(F.median("v").alias("med"), F.count("*").alias("n"))
 
 
 def trimmed_median(px: DataFrame, cutoff: float = 2.5) -> DataFrame:

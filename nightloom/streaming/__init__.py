@@ -1 +1 @@
-
+"""Jobs and new files as streams."""

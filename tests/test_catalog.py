@@ -19,17 +19,17 @@ def rows(columns, values):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, name):
     got = catalog.queries()[name](spark, DATA)
     found = got.collect()
     assert found
-    if name not in catalog.ORACLES:
+    if name not in catalog.oracle_sql():
         return
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    cursor = con.execute(catalog.ORACLES[name])
+    cursor = con.execute(catalog.oracle_sql()[name])
     names = [c[0] for c in cursor.description]
     assert sorted(names) == sorted(got.columns)
     for a, b in zip(rows(got.columns, found), rows(names, cursor.fetchall()), strict=True):
