@@ -79,10 +79,14 @@ def projected(df: DataFrame) -> DataFrame:
     eta = F.degrees((F.cos(d0) * F.sin(d) - F.sin(d0) * F.cos(d) * F.cos(a)) / depth)
     det = c("cd11") * c("cd22") - c("cd12") * c("cd21")
     df = df.withColumns({"u0": F.when(depth > 0, (xi * c("cd22") - eta * c("cd12")) / det), "v0": F.when(depth > 0, (eta * c("cd11") - xi * c("cd21")) / det)})
-    df = df.withColumns({"u": c("u0"), "v": c("v0")})
     if "a" in df.columns:
-        for _ in range(ROUNDS):
-            df = df.withColumns({"u": c("u0") - distorted(c("a"), c("u"), c("v")), "v": c("v0") - distorted(c("b"), c("u"), c("v"))})
+        # a loop inside one expression, since nested columns would be written out again and again
+        back = lambda s: F.struct((c("u0") - distorted(c("a"), s["u"], s["v"])).alias("u"), (c("v0") - distorted(c("b"), s["u"], s["v"])).alias("v"))
+        start = F.struct(c("u0").alias("u"), c("v0").alias("v"))
+        df = df.withColumn("uv", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: back(s)))
+        df = df.withColumns({"u": c("uv")["u"], "v": c("uv")["v"]}).drop("uv")
+    else:
+        df = df.withColumns({"u": c("u0"), "v": c("v0")})
     return df.withColumns({"px": c("u") + c("x0"), "py": c("v") + c("y0")}).drop("u", "v", "u0", "v0")
 
 

@@ -53,7 +53,7 @@ def job_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def new_frames(spark: SparkSession, path: str) -> DataFrame:
     """A stream of FITS files as images; what is refused comes with an error."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").option("maxFilesPerTrigger", MOST_IN_FLIGHT).load(path)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").option("maxFilesPerTrigger", MOST_IN_FLIGHT).load(path)
     return decoded_files(accepted(files.where(F.col("length") <= MAX_UPLOAD)).where("refused is null"))
 
 
