@@ -1,7 +1,7 @@
 """Applies a profile's stages to images, each frame with its own settings.
 
-Stages before and after the photometric calibration are one pass each over the images, without
-a shuffle; the calibration between them is a relational plan over the pixels of all frames. A frame that a
+Stages are one pass over the images, without a shuffle. Where frames are to be calibrated photometrically,
+the pass is cut there: the calibration is a relational plan over the pixels of all frames. A frame that a
 stage refuses keeps the message, and the others go on.
 """
 
@@ -106,12 +106,13 @@ def run(images: DataFrame, profile: str | dict = "auto", overrides: Iterable[str
             raise ValueError(f"no such stages: {sorted(unknown)}")
     chain = dict(KERNELS)
     named = labelled(kept(images, "loaded")) if profile == "auto" else images.withColumn("label", F.lit(next(iter(settings_of))))
+    if catalog is None or all(asked(s, "spcc") is None for s in settings_of.values()):
+        return on_images(named, applied((*BEFORE, *AFTER), settings_of, chain, dark), extra=("label",))
+    named = kept(named, "named")
     label = named.select("frame_id", "label")
-    out = on_images(named, applied(BEFORE, settings_of, chain, dark), extra=("label",))
-    if catalog is not None and any(asked(s, "spcc") is not None for s in settings_of.values()):
-        label = kept(label, "labels")
-        out = calibrated(kept(out, "linear"), label, settings_of, catalog)
-    return on_images(out.join(label, "frame_id"), applied(AFTER, settings_of, chain, dark), extra=("label",))
+    linear = kept(on_images(named, applied(BEFORE, settings_of, chain, dark), extra=("label",)), "linear")
+    out = calibrated(linear, label, settings_of, catalog).join(label, "frame_id")
+    return on_images(out, applied(AFTER, settings_of, chain, dark), extra=("label",))
 
 
 def calibrated(images: DataFrame, label: DataFrame, settings_of: dict[str, dict], catalog: DataFrame) -> DataFrame:
