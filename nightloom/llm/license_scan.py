@@ -16,7 +16,9 @@ Retrieved pairs are verified exactly: the share of the template's distinct shing
 Templates are bounded (MAX_SHINGLES in all, checked): only they are broadcast.
 
 Defined results: null text has no words and matches nothing. Texts are told apart by (doc_id, hash
-of the text); repeated rows give one result. Templates of fewer than five words are refused.
+of the text); repeated rows give one result. Templates of fewer than five words are refused. Of windows
+with equally many shingles the first counts; very long texts are cut into windows whole; an empty
+table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -97,7 +99,8 @@ def classes(counts: list[int]) -> list[tuple[int, int]]:
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """doc_id, template, n_shingles (the template's), n_matched, first_shingle of the best window."""
+    """doc_id, template, n_shingles (the template's), n_matched (in the best window), first_window: where
+    the first verified window begins, counted in shingles."""
     spark: SparkSession = docs.sparkSession
     work = Workspace(spark, "licenses")
     known = spark.createDataFrame(list(templates.items()), "template string, text string").select("template", F.array_distinct(shingles(F.col("text"))).alias("own"))

@@ -511,6 +511,35 @@ def test_license_scan(spark, nothing):
     assert license_scan.license_matches(nothing, license_scan.TEMPLATES).count() == 0
 
 
+def test_license_scan_against_all_windows(spark):
+    """Every window of the grid against every template of its class: nothing that holds 80 % is missed."""
+    rng = random.Random(31)
+    templates = license_scan.TEMPLATES
+    word = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    texts = []
+    for i in range(120):
+        w = word(rng.choice(list(templates.values())))
+        for _ in range(rng.randrange(0, 1 + len(w) // 15)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
+        texts.append(" ".join([*words(rng.randrange(150), i), *w[rng.randrange(3) :], *words(rng.randrange(90), 900 + i)]))
+    texts += [texts[0], "", None, " ".join(words(400, 5))]
+    own = {t: set(grams(word(x))) for t, x in templates.items()}
+    wanted = {}
+    for shortest, longest in license_scan.classes([len(v) for v in own.values()]):
+        width, stride = license_scan.window_of(longest), license_scan.stride_of(longest)
+        for i, t in enumerate(texts):
+            g = grams(word(t or ""))
+            for name, shingles in own.items():
+                if shortest <= len(shingles) <= longest:
+                    found = [(len(shingles & set(g[a : a + width])), -a) for a in range(0, max(1, len(g)), stride)]
+                    held = [(n, a) for n, a in found if n >= 0.8 * len(shingles)]
+                    if held:
+                        wanted[i, name] = (len(shingles), max(n for n, _ in held), min(-a for _, a in held))
+    got = license_scan.license_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect()
+    assert len(wanted) > 60 and {(r["doc_id"], r["template"]): (r["n_shingles"], r["n_matched"], r["first_window"]) for r in got} == wanted
+
+
 def test_learned_scores(spark, nothing):
     rows = [(i, prose(40, i) + (" vile" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)] + [(900, None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, mark int")
