@@ -223,6 +223,21 @@ def map_curves(spark, d):
     return channels(pixels.curves(sky_frame(spark, d)))
 
 
+GAINS = {"r": 1.4, "g": 0.95, "b": 0.75}
+TINTED = (
+    CURVES[: CURVES.index("t AS (")]
+    + "t AS (SELECT quantile_cont((r + g + b) / 3.0e0, 0.99e0) AS t FROM sc),\nw AS (SELECT sc.*, (r + g + b) / 3.0e0 * (1 - least(greatest(((r + g + b) / 3.0e0 - t) / greatest(1 - t, 1e-6), 0e0), 1e0)) AS w FROM sc, t),\ntg AS (SELECT y, x, "
+    + ", ".join(f"least(greatest({c} * (1 + ({g}e0 - 1) * w), 0e0), 1e0) AS {c}" for c, g in GAINS.items())
+    + " FROM w),"
+    + HSV.replace("FROM px", "FROM tg").replace("1.4e0", "1.25e0")
+)
+
+
+@query("map_curves_hsv", pixel_sql(TINTED, {c: f"least(greatest(top - (top - {c}) * k, 0e0), 1e0)" for c in CHANNELS}, "k", SKY))
+def map_curves_hsv(spark, d):
+    return channels(pixels.curves(sky_frame(spark, d), saturation=1.25, gains=tuple(GAINS.values()), mode="hsv"))
+
+
 @query("map_screen_blend", pixel_sql("", {c: f"1 - (1 - least({c}, 1e0)) * (1 - least({c} * 0.5e0, 1e0))" for c in CHANNELS}))
 def map_screen_blend(spark, d):
     px = heat_frame(spark, d)
@@ -261,6 +276,11 @@ def agg_percentiles(spark, d):
     return got.select(*(F.col("p")[i].alias(f"p{int(p * 1000)}") for i, p in enumerate(POINTS)))
 
 
+@query("agg_range", f"WITH {SKY} SELECT " + ", ".join(f"round(min({c}), 6) + 0e0 AS low_{c}, round(max({c}), 6) + 0e0 AS high_{c}" for c in CHANNELS) + " FROM px")
+def agg_range(spark, d):
+    return sky_frame(spark, d).groupBy("frame_id").agg(*(f(c).alias(f"{n}_{c}") for c in CHANNELS for n, f in (("low", F.min), ("high", F.max)))).drop("frame_id")
+
+
 @query("agg_median_mad", f"WITH {SKY}, v AS (SELECT {LUMA} AS v FROM px), m AS (SELECT median(v) AS med FROM v) SELECT round(med, 6) + 0e0 AS med, round(1.4826e0 * median(abs(v - med)), 6) + 0e0 AS sigma FROM v, m GROUP BY med")
 def agg_median_mad(spark, d):
     return stats.median_mad(stats.luma_values(sky_frame(spark, d))).select("med", "sigma")
@@ -279,7 +299,16 @@ def flt_sigma_clip(spark, d):
     return stats.sigma_clip(stats.luma_values(sky_frame(spark, d)), 2.5, 3).select("med", "n")
 
 
-@query("agg_trimmed_median")
+PAIRS = [(a, b) for i, a in enumerate(CHANNELS) for b in CHANNELS[i:]]
+TRIMMED = f"""
+m AS (SELECT avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, {", ".join(f"{f'var_samp({a}) + 1e-8' if a == b else f'covar_samp({a}, {b})'} AS {a}{b}" for a, b in PAIRS)} FROM px),
+i AS (SELECT *, rr * (gg * bb - gb * gb) - rg * (rg * bb - gb * rb) + rb * (rg * gb - gg * rb) AS det FROM m),
+d AS (
+  SELECT r, g, b, (power(r - mr, 2) * (gg * bb - gb * gb) + power(g - mg, 2) * (rr * bb - rb * rb) + power(b - mb, 2) * (rr * gg - rg * rg)
+    + 2 * (r - mr) * (g - mg) * (rb * gb - rg * bb) + 2 * (r - mr) * (b - mb) * (rg * gb - rb * gg) + 2 * (g - mg) * (b - mb) * (rg * rb - rr * gb)) / det AS d2 FROM px, i)"""
+
+
+@query("agg_trimmed_median", f"WITH {SKY},{TRIMMED} SELECT count(*) AS kept, " + ", ".join(f"round(median({c}), 6) + 0e0 AS {c}" for c in CHANNELS) + " FROM d WHERE d2 < 18.75e0")
 def agg_trimmed_median(spark, d):
     return stats.trimmed_median(sky_frame(spark, d)).select("kept", *CHANNELS)
 

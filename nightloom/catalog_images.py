@@ -232,6 +232,20 @@ def snk_thumbnail(spark, d):
     return thumbs(files.thumbnails(dim))
 
 
+LIFT = "f AS (SELECT y, x, " + ", ".join(f"{v} AS {c}" for c, v in FLOAT.items()) + f" FROM px), q AS (SELECT quantile_cont({LUMA}, 0.05e0) AS lo, quantile_cont({LUMA}, 0.999e0) AS hi FROM f), n AS (SELECT y, x, " + ", ".join(f"ln(1 + 200 * least(greatest(({c} - lo) / greatest(hi - lo, 1e-6), 0e0), 1e0)) AS {c}" for c in CHANNELS) + " FROM f, q), t AS (SELECT greatest(max(r), max(g), max(b)) AS t FROM n)"
+BYTES = "SELECT y, x, " + ", ".join(f"CAST(floor({c} / t * 255 + 1e-9) AS INTEGER) AS {c}" for c in CHANNELS) + " FROM n, t"
+
+
+@query("snk_before_preview", f"WITH {SKY}, {LIFT} {BYTES}")
+def snk_before_preview(spark, d):
+    return thumbs(files.before_previews(sky_images(spark, d)))
+
+
+@query("snk_debug_preview", f"WITH {HEAT}, n AS (SELECT y, x, " + ", ".join(f"ln(1 + 1000 * greatest({v}, 0e0)) AS {c}" for c, v in FLOAT.items()) + f" FROM px), t AS (SELECT greatest(max(r), max(g), max(b)) AS t FROM n) {BYTES}")
+def snk_debug_preview(spark, d):
+    return thumbs(files._mapped(heat_images(spark, d), "png", lambda a: files.png(files.debug_preview(a))))
+
+
 def mosaic_file(image: np.ndarray) -> bytes:
     """An image through an RGGB filter, as a raw file."""
     y, x = np.indices(image.shape[:2])
