@@ -3,9 +3,8 @@
 1. Each page is parsed, tolerantly, into a tree of block elements.
 2. Per host, the page with the smallest page_id gives a reference skeleton (tags and classes only).
    Every page of the host is aligned with it by simple tree matching: roots must agree, children
-   are matched in order by dynamic programming, the number of matched nodes is greatest. Where an element and
-   its partner have over PRODUCT pairs of differing children, these are matched in order, the next
-   free one with the same label.
+   are matched in order by dynamic programming, the number of matched nodes is greatest, however many
+   children there are: time grows with the product of their numbers, memory with one of them times the other's root.
 3. Over all pages of a host, texts are counted by aligned slot. A text that stands in the same slot
    on at least CONSTANT of the host's pages (and on LEAST pages or more) is template; slots whose text
    varies are content. On hosts with fewer pages a text on every page, of two at least, is template,
@@ -37,10 +36,11 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +49,9 @@ from pyspark.sql import functions as F
 from .common import Workspace, maybe_broadcast, salted, table
 
 CONSTANT, LEAST = 0.5, 5
-DEPTH, PRODUCT, SMALL = 200, 250_000, 8 << 20
+DEPTH, SMALL = 200, 8 << 20
+#: So many pairs of trees are remembered with their number of matched nodes; more are computed again.
+KNOWN = 1 << 20
 
 # fixed values of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -344,71 +346,99 @@ def kids_of(node: Node) -> list[Node]:
     return [] if node.tag in LEAVES else [c for c in node.children if not isinstance(c, str) and not c.skip and c.tag in BLOCK and c.tag != "br"]
 
 
-def shape(tree, known: dict) -> int:
-    """A hash of the labels of a tree, of nodes or of a reference."""
-    if id(tree) not in known:
-        label, kids = (tree.label(), kids_of(tree)) if isinstance(tree, Node) else tree
-        known[id(tree)] = hash((label, *(shape(k, known) for k in kids)))
-    return known[id(tree)]
-
-
-def pairing(node: Node, ref: list, known: dict) -> tuple[int, list]:
-    """The number of matched nodes, and the matched children with their places in the reference.
-
-    Equal trees at both ends of the children are paired at once; no other pairing has more nodes."""
-    key = id(node), id(ref)
-    if key in known:
-        return known[key]
-    kids, refs = kids_of(node), ref[1]
-    n, m, lo, hi = len(kids), len(refs), 0, 0
-    while lo < min(n, m) and shape(kids[lo], known) == shape(refs[lo], known):
-        lo += 1
-    while hi < min(n, m) - lo and shape(kids[n - 1 - hi], known) == shape(refs[m - 1 - hi], known):
-        hi += 1
-    pairs = [(kids[i], i) for i in range(lo)]
-    middle, labels = kids[lo : n - hi], [r[0] for r in refs[lo : m - hi]]
-    if len(middle) * len(labels) > PRODUCT:
-        places, at = defaultdict(list), 0
-        for j, label in enumerate(labels):
-            places[label].append(j)
-        for kid in middle:
-            k = bisect_left(places[kid.label()], at)
-            if k < len(places[kid.label()]):
-                at = places[kid.label()][k] + 1
-                pairs.append((kid, lo + at - 1))
-    elif middle and labels:
-        names = [kid.label() for kid in middle]
-        gain = [[0] * (len(labels) + 1) for _ in range(len(middle) + 1)]
-        value = {}
-        for i in range(len(middle) - 1, -1, -1):
-            for j in range(len(labels) - 1, -1, -1):
-                best = max(gain[i + 1][j], gain[i][j + 1])
-                if names[i] == labels[j]:
-                    value[i, j] = pairing(middle[i], refs[lo + j], known)[0]
-                    best = max(best, gain[i + 1][j + 1] + value[i, j])
-                gain[i][j] = best
-        i = j = 0
-        while i < len(middle) and j < len(labels):
-            if (i, j) in value and gain[i][j] == gain[i + 1][j + 1] + value[i, j]:
-                pairs.append((middle[i], lo + j))
-                i, j = i + 1, j + 1
-            elif gain[i][j] == gain[i + 1][j]:
-                i += 1
-            else:
-                j += 1
-    pairs += [(kids[n - hi + k], m - hi + k) for k in range(hi)]
-    known[key] = 1 + sum(pairing(kid, refs[j], known)[0] for kid, j in pairs), pairs
-    return known[key]
+class Shapes:
+    """Trees by number: equal ones, of nodes or of a reference, have the same; with label, children's numbers and size."""
+
+    def __init__(self):
+        self.of, self.numbers, self.label, self.kids, self.size, self.values = {}, {}, [], [], [], {}
+
+    def number(self, tree) -> int:
+        found = self.of.get(id(tree))
+        if found is None:
+            label, kids = (tree.label(), kids_of(tree)) if isinstance(tree, Node) else tree
+            key = label, tuple([self.number(k) for k in kids])
+            found = self.of[id(tree)] = self.numbers.setdefault(key, len(self.size))
+            if found == len(self.size):
+                self.label.append(label)
+                self.kids.append(key[1])
+                self.size.append(1 + sum(self.size[k] for k in key[1]))
+        return found
+
+    def value(self, a: int, b: int) -> int:
+        """The greatest number of matched nodes of two trees whose roots match."""
+        if a == b or not self.kids[a] or not self.kids[b]:
+            return self.size[a] if a == b else 1
+        found = self.values.get((a, b))
+        if found is None:
+            found = 1 + self.pairing(a, b, False)[0]
+            if len(self.values) >= KNOWN:
+                self.values.clear()
+            self.values[a, b] = found
+        return found
+
+    def pairing(self, a: int, b: int, places: bool = True) -> tuple[int, list[tuple[int, int]]]:
+        """The greatest number of matched nodes below two matched trees, and the places of the matched children.
+
+        Equal trees at both ends of the children are paired at once; no other pairing has more nodes.
+        Between them one row of the dynamic program is held at a time; every so many are kept, from which
+        those between are made again for the places."""
+        kids, refs = self.kids[a], self.kids[b]
+        n, m, lo, hi = len(kids), len(refs), 0, 0
+        while lo < min(n, m) and kids[lo] == refs[lo]:
+            lo += 1
+        while hi < min(n, m) - lo and kids[n - 1 - hi] == refs[m - 1 - hi]:
+            hi += 1
+        total = sum(self.size[k] for k in kids[:lo]) + sum(self.size[k] for k in kids[n - hi :])
+        pairs = [(i, i) for i in range(lo)]
+        middle, other = kids[lo : n - hi], refs[lo : m - hi]
+        if middle and other:
+            kinds = {k: i for i, k in enumerate(dict.fromkeys(other))}
+            at = np.array([kinds[k] for k in other])
+            worth = {k: np.array([self.value(k, r) if self.label[k] == self.label[r] else 0 for r in kinds], np.int32) for k in dict.fromkeys(middle)}
+
+            def row(i: int, below: np.ndarray) -> np.ndarray:
+                out = below.copy()
+                best = np.maximum(below[:-1], below[1:] + worth[middle[i]][at])
+                out[:-1] = np.maximum.accumulate(best[::-1])[::-1]
+                return out
+
+            every = math.isqrt(len(middle)) + 1
+            gain = np.zeros(len(other) + 1, np.int32)
+            kept = {len(middle): gain}
+            for i in range(len(middle) - 1, -1, -1):
+                gain = row(i, gain)
+                if places and i % every == 0:
+                    kept[i] = gain
+            total += int(gain[0])
+            j = 0
+            for start in range(0, len(middle) if places else 0, every):
+                stop = min(start + every, len(middle))
+                rows = {stop: kept[stop]}
+                for i in range(stop - 1, start - 1, -1):
+                    rows[i] = row(i, rows[i + 1])
+                i = start
+                while i < stop and j < len(other):
+                    here, below, one = rows[i][j], rows[i + 1], worth[middle[i]][at[j]]
+                    if one and here == below[j + 1] + one:
+                        pairs.append((lo + i, lo + j))
+                        i, j = i + 1, j + 1
+                    elif here == below[j]:
+                        i += 1
+                    else:
+                        j += 1
+        pairs += [(n - hi + k, m - hi + k) for k in range(hi)]
+        return total, pairs
 
 
 def match(node: Node, ref: list, path: str = "") -> int:
     """Simple tree matching: marks matched nodes with the reference's path; returns their number."""
-    known: dict = {}
-    total, work = pairing(node, ref, known)[0], [(node, ref, path)]
+    shapes, total, work = Shapes(), 0, [(node, ref, path)]
     while work:
         node, ref, path = work.pop()
         node.slot = path
-        work.extend((kid, ref[1][j], f"{path}/{j}") for kid, j in pairing(node, ref, known)[1])
+        total += 1
+        kids = kids_of(node)
+        work.extend((kids[i], ref[1][j], f"{path}/{j}") for i, j in shapes.pairing(shapes.number(node), shapes.number(ref))[1])
     return total
 
 

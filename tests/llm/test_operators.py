@@ -487,6 +487,26 @@ def test_tree_matching_against_all_alignments():
     assert html_extract.match(node(left), right) == 61
 
 
+def test_tree_matching_of_very_many_children():
+    """The greatest number of matched nodes does not depend on how many children there are."""
+
+    def tree(kids):
+        return ["div", [[k, []] for k in kids]]
+
+    def node(t):
+        out = html_extract.Node(t[0])
+        out.children = [node(c) for c in t[1]]
+        return out
+
+    # of the page's 600 lists and the paragraphs before and after, the reference has the lists only at its end
+    left = tree(["h1", "p", *["ul"] * 600, "h2"])
+    right = tree(["h2", *["ol"] * 300, "p", *["ol"] * 300, *["ul"] * 600, "h3"])
+    assert html_extract.match(node(left), right) == 602
+    # where the next free child with the label is not the best one: both the lists and the table match
+    left, right = tree(["p", "table", *["ul"] * 600, "p"]), tree([*["ul"] * 600, "table", "p", "h1"])
+    assert html_extract.match(node(left), right) == 602
+
+
 def test_wrappers_without_telling_names(spark):
     """Same-host pages without any telling tag or class: alignment alone separates template from text."""
     page = "<div><div>Home | About | Contact</div>{2}<div><div>{0}</div><div>Posted in News</div><div>{1}</div></div><div>All rights reserved</div></div>"
