@@ -390,6 +390,26 @@ def test_the_language_model_learns_from_context(spark, monkeypatch):
     assert with_weights > held_out() + 0.15
 
 
+def test_no_word_is_lost_beyond_the_dictionary(spark, monkeypatch):
+    """With any size of dictionary the probabilities of the end, of every word seen and of the unseen sum to 1."""
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.6)) % 4000}" for _ in range(6000)]
+    count = collections.Counter(words)
+    rows = [(2 * i, " ".join(words[60 * i : 60 * i + 60])) for i in range(100)]
+    known = sorted(count)
+    rows += [(2 * i + 1, w) for i, w in enumerate(["", "unseen", *known])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(language_model, "RATE", 0.0)
+    for top in (1 << 20, 50, 0):
+        got = {r["doc_id"]: r["score"] for r in language_model.language_model(frame, lambda c: c % 2 == 0, top).collect()}
+        p = {w: 10 ** (got[2 * i + 1] - got[1]) for i, w in enumerate(["", "unseen", *known])}
+        # half a token goes to each empty slot
+        assert 10 ** got[1] + p["unseen"] + sum(p[w] for w in known) == pytest.approx(1, abs=0.01)
+        # what is outside has the share of its own count
+        rare = [w for w, n in count.items() if n == 1 or top == 0]
+        assert len(rare) > 200 and max(p[w] / count[w] for w in rare) == pytest.approx(min(p[w] / count[w] for w in rare), rel=1e-3 if top < 100 else 1)
+
+
 def test_softmax_steps_against_the_gradient():
     """One step on a fresh table moves against the gradient of the loss, found by differences."""
     rng = np.random.default_rng(0)
