@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import SPACES, Workspace, chain, documents, salted, text_key
+from .common import BATCH_BYTES, SPACES, Workspace, chain, documents, salted, slices, text_key
 
 MIN_WORDS = 50
 
@@ -145,7 +145,7 @@ def agreeing(left1, left2, right1, right2) -> Column:
 def cut(frames):
     """For mapInArrow over (..., text, spans): the text without the lines of the spans, and counts."""
     strip = SPACES
-    for batch in frames:
+    for batch in (piece for frame in frames for piece in slices(frame)):
         names = batch.schema.names
         texts, found = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
         text_out, n_lines, n_cut = [], [], []
@@ -211,7 +211,7 @@ def repeated_spans(docs: DataFrame, min_words: int, work: Workspace) -> DataFram
 
 def deduped(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """rest (the other columns), doc_id, the remaining text, n_lines (with a word) and n_removed of every row."""
-    work = Workspace(docs.sparkSession, "lines")
+    work = Workspace(docs.sparkSession, "lines", BATCH_BYTES)
     quoted = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != "text"]
     base = docs.select(F.struct(*quoted).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("row"))
     spans = repeated_spans(base, min_words, work).withColumnsRenamed({"row": "row_", "doc_id": "doc_id_"})

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, chain, documents, mix, salted, same_row, text_key, tokens, whole_rows
+from .common import BATCH_BYTES, Workspace, chain, documents, mix, salted, same_row, text_key, tokens, whole_rows
 
 BANDS, ROWS = 30, 5
 #: Signature bytes may disagree so much below the threshold before a pair is dropped unseen:
@@ -38,11 +38,13 @@ BANDS, ROWS = 30, 5
 SLACK = 0.15
 #: A block holds about so many nodes and shingles at most.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Bytes of text that are shingled at once: arrays of 64 bits for each byte stay small.
+PIECE = 1 << 18
 
 
 def shingle_sets(column, words: int):
     """Yields (row, sorted distinct shingle hashes) for every text."""
-    for first, bounds, h, *_ in tokens(column):
+    for first, bounds, h, *_ in tokens(column, piece=PIECE):
         grams = chain(*(h[i : len(h) - words + 1 + i] for i in range(words))) if len(h) >= words else h[:0]
         for i in range(len(bounds) - 1):
             a, b = bounds[i], bounds[i + 1]
@@ -292,7 +294,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
     ``threshold`` is the least Jaccard similarity in per cent.
     """
     spark: SparkSession = docs.sparkSession
-    work = Workspace(spark, "near")
+    work = Workspace(spark, "near", BATCH_BYTES)
     signed = work.keep(signatures(docs, words, bands, rows), "signed")
     classes = work.keep(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = classes.where("node is not null").select("node", "h1", "h2")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nightloom.llm import common, decontaminate, html_extract, language_model, license_scan, line_dedup, mixing, near_dedup, quality_model, quality_rules, toxicity
@@ -96,6 +97,33 @@ def test_near_dedup(docs, texts, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_near_dedup_takes_small_batches(spark, monkeypatch):
+    """12 MB of text in one partition goes to Python in batches of about BATCH_BYTES, and the session is left as it was."""
+    real, most = near_dedup.shingle_sets, 3 << 20
+
+    def watched(column, n):
+        assert column.nbytes < most, f"{column.nbytes} bytes at once"
+        return real(column, n)
+
+    monkeypatch.setattr(near_dedup, "shingle_sets", watched)
+    frame = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 120), i -> sha2(concat(id div 2, ' ', i), 256))) AS text")
+    frame = frame.selectExpr("doc_id", "substr(text, 1, 4000) AS text")
+    got = by_id(near_dedup.near_duplicates(frame, words=2), "n_shingles", "component_id")
+    assert got == {i: (61, i // 2 * 2) for i in range(3000)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
+def test_line_dedup_cuts_large_batches_in_pieces():
+    rows = [f"a{i}\n{'x' * 4000}\nb{i}" for i in range(3000)]
+    spans = [[{"first": 1, "lines": 1}] if i % 2 else None for i in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(3000), "text": rows, "spans": spans})
+    out = list(line_dedup.cut([batch, batch.slice(0, 0)]))
+    assert max(x.nbytes for x in out) < 3 << 20
+    whole = pa.Table.from_batches(out).to_pydict()
+    assert whole["doc_id"] == list(range(3000)) and whole["n_removed"] == [i % 2 for i in range(3000)]
+    assert whole["text"] == [f"a{i}\nb{i}" if i % 2 else rows[i] for i in range(3000)]
+
+
 def test_line_dedup(docs, texts, nothing):
     got = by_id(line_dedup.line_dedup(docs), "text", "n_lines", "n_removed")
     lines = {i: [x.strip() for x in (t or "").split("\n") if x.strip()] for i, t in enumerate(texts)}
