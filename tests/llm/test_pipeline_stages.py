@@ -113,3 +113,27 @@ def test_stages_and_run(spark, folder):
 def test_stages_of_nothing(spark, folder, name, stage):
     got = stage(spark, spark.createDataFrame([], SCHEMA), folder)
     assert got.count() == 0 and got.columns[:6] == [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def block_bytes(spark):
+    """In how large blocks Spark lays out a broadcast just now."""
+    sent = spark.sparkContext._jsc.broadcast("x")
+    size = next(f for f in sent.getClass().getDeclaredFields() if f.getName() == "blockSize")
+    size.setAccessible(True)
+    return size.get(sent)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_broadcasts_are_small(spark, folder, name, stage):
+    """Under 512 KB, half a region of a small driver's heap; a size that the application sets stays."""
+    conf, key = spark.sparkContext._jsc.sc().conf(), "spark.broadcast.blockSize"
+    nothing = spark.createDataFrame([], SCHEMA)
+    conf.remove(key)
+    try:
+        stage(spark, nothing, folder)
+        assert block_bytes(spark) < 512 << 10
+        conf.set(key, "1m")
+        stage(spark, nothing, folder)
+        assert block_bytes(spark) == 1 << 20
+    finally:
+        conf.remove(key)
